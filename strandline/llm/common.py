@@ -57,3 +57,9 @@ def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, row): all columns kept in one struct, so that no working column can clash with them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))

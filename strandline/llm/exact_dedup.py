@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACES, id_text
+from strandline.llm.common import SPACES, boxed, id_text
 from strandline.llm.scratch import materialise
 
 _KEY = ["digest", "n_bytes", "witness"]
@@ -81,8 +81,8 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     The row with the smallest doc_id of each group stays; of rows that repeat its
     id and text, one.
     """
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    tagged = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256)).withColumn("__id", F.col("doc_id"))
-    same = tagged.alias("d").join(kept.alias("k"), F.col("d.__id").eqNullSafe(F.col("k.__id")) & (F.col("d.__sha") == F.col("k.__sha"))).select("d.*")
-    first = same.withColumn("__n", F.row_number().over(W.partitionBy("__id", "__sha").orderBy(F.lit(1))))
-    return first.where("__n = 1").select(*docs.columns)
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    rows = boxed(docs).select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha"), "row")
+    same = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha") == F.col("sha")))
+    first = same.withColumn("n", F.row_number().over(W.partitionBy("id", "sha").orderBy(F.lit(1))))
+    return first.where("n = 1").select("row.*")

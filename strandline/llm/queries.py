@@ -12,6 +12,7 @@ from strandline.llm.common import table
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.packing import pack_documents
 from strandline.llm.quality_rules import judged
+from strandline.llm.substring_dedup import removal_digest
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +27,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return round_trip(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op9_quality_rules)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op4_substring_dedup, op9_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
