@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.byte_bpe import round_trip
+from strandline.llm.chat import format_conversations
 from strandline.llm.common import table
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.packing import pack_documents
 from strandline.llm.quality_rules import judged
 from strandline.llm.substring_dedup import removal_digest
+from strandline.llm.warc import archive_round_trip
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +33,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op4_substring_dedup, op9_quality_rules)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op4_substring_dedup, op5_chat_formatting, op8_warc, op9_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
