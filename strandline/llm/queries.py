@@ -11,6 +11,7 @@ from strandline.llm.byte_bpe import round_trip
 from strandline.llm.chat import format_conversations
 from strandline.llm.common import table
 from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.ngram import score_documents
 from strandline.llm.packing import pack_documents
 from strandline.llm.quality_rules import judged
 from strandline.llm.substring_dedup import removal_digest
@@ -45,8 +46,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op4_substring_dedup, op5_chat_formatting, op8_warc, op9_quality_rules)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op4_substring_dedup, op5_chat_formatting, op8_warc, op9_quality_rules, op10_lm_scoring)
 }
 
 ORACLES: dict[str, str] = {
