@@ -13,6 +13,7 @@ from strandline.llm.common import table
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.ngram import score_documents
 from strandline.llm.packing import pack_documents
+from strandline.llm.quality_model import classify
 from strandline.llm.quality_rules import judged
 from strandline.llm.substring_dedup import removal_digest
 from strandline.llm.warc import archive_round_trip
@@ -38,6 +39,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -51,7 +56,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op4_substring_dedup, op5_chat_formatting, op8_warc, op9_quality_rules, op10_lm_scoring)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op4_substring_dedup, op5_chat_formatting, op7_quality_classifier, op8_warc, op9_quality_rules, op10_lm_scoring)
 }
 
 ORACLES: dict[str, str] = {
