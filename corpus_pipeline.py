@@ -1,13 +1,87 @@
-"""The corpus pipeline: quality classifier, exact dedup, near dedup, substring dedup, packing."""
+"""The corpus pipeline: quality classifier, exact dedup, near dedup, substring dedup, packing.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
+returns a frame that is to be written and read again before the next stage is
+called.  A stage deletes the scratch tables of the stage before it, whose result
+is on disk by then; the last stage's scratch tables stay until the process ends.
+
+All stages but the last return the columns of ``documents``.  Null texts are
+empty texts, null ids are never dropped as copies, empty tables pass through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm import scratch
+from strandline.llm.common import table
+from strandline.llm.exact_dedup import drop_exact_duplicates
+from strandline.llm.near_dedup import drop_near_duplicates
+from strandline.llm.packing import pack_documents
+from strandline.llm.quality_model import keep_good
+from strandline.llm.substring_dedup import remove_repeats
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: set[str] = set()
+
+
+def _tidy(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _left
+        scratch.drop(_left)
+        before = scratch.mark()
+        out = stage(spark, docs, sf_dir)
+        _left = scratch.mark() - before if stage is not pack else set()
+        return out
+
+    return run_stage
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of equal texts."""
+    return drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each class of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without windows of 50 words that an earlier one has; ``n_chars`` follows the text."""
+    out = remove_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their places in sequences."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [(f.__name__, _tidy(f)) for f in (classify, exact, near, substring, pack)]
+#: The classifier's and the packer's results are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result stored before the next stage reads it."""
+    docs, stored = table(spark, sf_dir, "documents"), set()
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            before = scratch.mark()
+            docs = scratch.materialise(docs, name)
+            scratch.drop(stored)
+            stored = scratch.mark() - before
     return docs

@@ -11,6 +11,7 @@ from strandline.llm.byte_bpe import round_trip
 from strandline.llm.chat import format_conversations
 from strandline.llm.common import table
 from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.near_dedup import near_duplicates
 from strandline.llm.ngram import score_documents
 from strandline.llm.packing import pack_documents
 from strandline.llm.quality_model import classify
@@ -39,6 +40,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,7 +61,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op4_substring_dedup, op5_chat_formatting, op7_quality_classifier, op8_warc, op9_quality_rules, op10_lm_scoring)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_bpe, op4_substring_dedup, op5_chat_formatting, op6_minhash_near_dedup, op7_quality_classifier, op8_warc, op9_quality_rules, op10_lm_scoring)
 }
 
 ORACLES: dict[str, str] = {

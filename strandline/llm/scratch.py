@@ -73,8 +73,7 @@ def mark() -> set[str]:
     return set(_LIVE)
 
 
-def sweep(keep: set[str] | None = None) -> None:
-    """Delete scratch tables, all but ``keep``; frames that read them become unusable."""
-    for path in [p for p in _LIVE if p not in (keep or ())]:
-        spark = _LIVE.pop(path)
-        delete(spark, path.rsplit("/", 1)[0])
+def drop(paths: set[str]) -> None:
+    """Delete these scratch tables; frames that read them become unusable."""
+    for path in [p for p in _LIVE if p in paths]:
+        delete(_LIVE.pop(path), path.rsplit("/", 1)[0])
