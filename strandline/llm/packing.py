@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,16 @@ from strandline.llm.scratch import materialise
 CAPACITY = 4096
 END = 2
 _CACHE = 400_000
+_LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+_SIMPLE = re.compile(f"([{_LETTERS}]*)([.,;:!?|#$%&*]*)")
 
 
 class WordTokens:
-    """Token ids of words, each word encoded once; exact because this tokenizer never looks across white space."""
+    """Token ids of words, each word encoded once; exact because this tokenizer never looks across white space.
+
+    A word of Latin letters with signs after it is two pre-tokens at most, which
+    go to the model alone; any other word takes the library's whole way.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,27 +56,52 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.printed = str.maketrans({c: self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LETTERS.lower()})
+        self.parts: dict[str, tuple[int, ...]] = {"": ()}
         self.reset()
 
     def reset(self) -> None:
         self.slot: dict[str, int] = {}
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def part(self, text: str) -> tuple[int, ...]:
+        """Ids of one pre-token."""
+        if (got := self.parts.get(text)) is None:
+            got = tuple([t.id for t in self.model.tokenize(text.translate(self.printed))])
+            if len(self.parts) > _CACHE:
+                self.parts = {"": ()}
+            self.parts[text] = got
+        return got
+
+    def words(self, new: list[str]) -> list[tuple[int, ...]]:
+        out, odd = [], []
+        for w in new:
+            if m := _SIMPLE.fullmatch(w):
+                letters, signs = m.groups()
+                out.append(self.part(letters.lower()) + self.part(signs))
+            else:
+                odd.append(len(out))
+                out.append(w)
+        for k, e in zip(odd, self.library.encode_batch_fast([out[k] for k in odd], add_special_tokens=False) if odd else (), strict=True):
+            out[k] = e.ids
+        return out
+
     def slots(self, words: list[str]) -> np.ndarray:
         """The place of each word in ``starts`` and ``lengths``."""
         if len(self.slot) > _CACHE:
             self.reset()
-        new = [w for w in words if w not in self.slot]
+        known = self.slot
+        new = [w for w in words if w not in known]
         if new:
-            ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
+            ids = self.words(new)
+            n = np.array(list(map(len, ids)), np.int64)
+            flat = np.array(list(chain.from_iterable(ids)), np.uint32)
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
             self.lengths = np.concatenate([self.lengths, n])
             self.pool = np.concatenate([self.pool, flat])
-            for w in new:
-                self.slot[w] = len(self.slot)
-        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        return np.array([known[w] for w in words], np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(bounds, ids): ids of row i are ``ids[bounds[i]:bounds[i + 1]]``, each row closed by ``end``."""
@@ -78,12 +111,10 @@ class WordTokens:
         total = np.concatenate([[0], np.cumsum(n)])
         bounds = total[offsets] + np.arange(len(offsets))
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        out = np.full(int(bounds[-1]), end, np.uint32)
-        first = total[:-1] + row
         place = np.arange(int(total[-1]))
-        word = np.repeat(np.arange(len(n)), n)
-        within = place - total[word]
-        out[first[word] + within] = self.pool[self.starts[at][word] + within]
+        ids = self.pool[place + np.repeat(self.starts[at] - total[:-1], n)]
+        out = np.full(int(bounds[-1]), end, np.uint32)
+        out[place + np.repeat(row, n)] = ids
         return bounds, out
 
 
@@ -99,7 +130,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(path)
         for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
+            for part in slices(batch, "text", 6_000_000):
                 bounds, ids = words.encode(part.column("text"), end)
                 total = np.diff(bounds)
                 k = -(-total // capacity)
