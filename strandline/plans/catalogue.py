@@ -5,6 +5,466 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from strandline.functions import vectors as V
+from strandline.functions.metrics import md5_key
+from strandline.operators import classification, hierarchy, intervals, learning, matching, sequences, splits, vectors
+from strandline.plans import oracles
+from strandline.sources import bindings as B
+from strandline.sources import writers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES = oracles.ORACLES
+
+LAG, TOP, SEED, FRACTION, TRIALS, LEVELS, SHARDS = 3, 5, 7, 0.2, 4, (0, 1, 2, 4, 8), 8
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _r(*names: str, digits: int = 6) -> list:
+    return [F.round(n, digits).alias(n) for n in names]
+
+
+# --- boundaries -------------------------------------------------------------
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    tol = F.explode(F.array(*[F.lit(t) for t in B.TOLERANCES])).alias("tol")
+    return matching.boundary_scores(B.videos(spark, sf).select("video_id", tol), B.boundaries(spark, sf, "purchase"), B.boundaries(spark, sf, "error"), ["video_id", "tol"])
+
+
+@query
+def boundary_f1_by_tolerance(spark, sf):
+    return _scores(spark, sf).select("video_id", "tol", "n_pred", "n_gt", "tp", *_r("precision", "recall", "f1"))
+
+
+@query
+def boundary_macro_f1(spark, sf):
+    return _scores(spark, sf).groupBy("tol").agg(F.avg("f1").alias("macro_f1")).select("tol", *_r("macro_f1"))
+
+
+@query
+def boundary_micro_f1(spark, sf):
+    from strandline.functions.metrics import precision_recall_f1
+
+    pooled = _scores(spark, sf).groupBy("tol").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_gt").alias("n_gt"))
+    p, r, f = precision_recall_f1(F.col("tp"), F.col("n_pred"), F.col("n_gt"))
+    return pooled.select("tol", "tp", "n_pred", "n_gt", p.alias("precision"), r.alias("recall"), f.alias("f1")).select("tol", "tp", "n_pred", "n_gt", *_r("precision", "recall", "f1"))
+
+
+@query
+def random_boundary_f1(spark, sf):
+    """Matched random baseline: as many random clips as a video has distinct predicted ones, per trial; F1 averaged over trials."""
+    clip = lambda kind: B.boundaries(spark, sf, kind).select("video_id", F.floor(F.col("t") / B.HOUR).alias("t")).distinct()
+    true, counts = clip("error"), clip("purchase").groupBy("video_id").agg(F.count(F.lit(1)).alias("n_pred"))
+    drawn = splits.random_boundaries(counts, B.CLIPS, TRIALS, SEED)
+    each = B.videos(spark, sf).select("video_id", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))).alias("trial"))
+    tol = F.lit(3).cast("long").alias("tol")
+    keys = ["video_id", "trial"]
+    pairs = matching.candidates(drawn.select("*", tol), true.join(each, "video_id").select("*", tol), keys)
+    tp = matching.greedy_matches(pairs, keys)
+    n = lambda df, name: df.groupBy("video_id").agg(F.count(F.lit(1)).alias(name))
+    rows = each.join(counts, "video_id", "left").join(n(true, "n_gt"), "video_id", "left").join(tp, keys, "left").na.fill(0)
+    k = F.least(F.col("n_pred"), F.lit(B.CLIPS - 1))
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (k + F.col("n_gt"))).otherwise(F.lit(0.0))
+    return rows.groupBy("video_id").agg(F.max("n_pred").alias("n_pred"), F.avg(f1).alias("random_f1")).select("video_id", "n_pred", *_r("random_f1"))
+
+
+# --- sequences --------------------------------------------------------------
+
+
+@query
+def rle_runs(spark, sf):
+    return sequences.run_length_encode(B.tokens(spark, sf))
+
+
+@query
+def change_flags(spark, sf):
+    return sequences.change_flags(B.tokens(spark, sf))
+
+
+@query
+def token_stats(spark, sf):
+    s = sequences.token_stats(B.tokens(spark, sf), len(B.EVENT_TYPES))
+    return s.select("video_id", "n_tokens", "n_unique", "codebook_size", "n_changes", *_r("mean_run_length"), "max_run_length")
+
+
+@query
+def mean_run_length(spark, sf):
+    s = sequences.token_stats(B.tokens(spark, sf), len(B.EVENT_TYPES))
+    return s.agg(F.avg("mean_run_length").alias("mean_run_length"), F.count(F.lit(1)).alias("n_videos")).select(*_r("mean_run_length"), "n_videos")
+
+
+@query
+def token_perplexity(spark, sf):
+    return sequences.perplexity(B.event_times(spark, sf)).select(*_r("perplexity"))
+
+
+@query
+def token_label_purity(spark, sf):
+    return sequences.purity(B.table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select(*_r("purity"))
+
+
+@query
+def token_label_nmi(spark, sf):
+    return sequences.mutual_information(B.table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select(*_r("nmi"))
+
+
+def _windows(spark: SparkSession, sf: str, width: int, stride: int) -> DataFrame:
+    return sequences.count_windows(B.table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", width, stride).select("doc_id", "clip_idx", "start")
+
+
+@query
+def clip_windows_tumbling(spark, sf):
+    return _windows(spark, sf, 512, 512)
+
+
+@query
+def clip_windows_sliding(spark, sf):
+    return _windows(spark, sf, 512, 256)
+
+
+@query
+def clip_windows_gapped(spark, sf):
+    return _windows(spark, sf, 512, 768)
+
+
+# --- intervals --------------------------------------------------------------
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.clip_labels(B.videos(spark, sf), B.narrations(spark, sf), B.HOUR, B.CLIPS)
+
+
+@query
+def narration_boundaries(spark, sf):
+    return intervals.interval_boundaries(B.narrations(spark, sf), B.SPAN)
+
+
+@query
+def narration_boundaries_snapped(spark, sf):
+    return intervals.snapped_boundaries(intervals.interval_boundaries(B.narrations(spark, sf), B.SPAN), B.HOUR, B.CLIPS)
+
+
+@query
+def clip_labels(spark, sf):
+    return _labels(spark, sf)
+
+
+@query
+def clip_labels_unlabelled_signups(spark, sf):
+    """Sign-ups count as narrations without a verb: they give boundaries, never labels."""
+    some = B.narrations(spark, sf).withColumn("verb", F.when(F.col("verb") != B.EVENT_TYPES.index("signup"), F.col("verb")))
+    return intervals.clip_labels(B.videos(spark, sf), some, B.HOUR, B.CLIPS).where("label >= 0")
+
+
+@query
+def background_fraction(spark, sf):
+    return intervals.background_fraction(_labels(spark, sf)).select("video_id", *_r("background"))
+
+
+@query
+def top_labels(spark, sf):
+    return intervals.top_labels(_labels(spark, sf), TOP)
+
+
+# --- vectors ----------------------------------------------------------------
+
+
+def _flat(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.posexplode("embedding").alias("dim", "x")).select(*keys, "dim", *_r("x"))
+
+
+@query
+def l2_normalize(spark, sf):
+    return _flat(vectors.normalised(B.features(spark, sf)), "video_id", "clip_idx")
+
+
+@query
+def transition_pairs(spark, sf):
+    p = sequences.transitions(B.features(spark, sf), LAG)
+    return p.select("video_id", "clip_idx", V.dot(F.col("embedding"), F.col("later")).alias("cosine")).select("video_id", "clip_idx", *_r("cosine"))
+
+
+@query
+def pair_concat(spark, sf):
+    p = sequences.transitions(B.features(spark, sf), LAG)
+    return _flat(p.select("video_id", "clip_idx", F.concat("embedding", "later").alias("embedding")), "video_id", "clip_idx")
+
+
+@query
+def copy_mse(spark, sf):
+    return vectors.copy_mse(B.features(spark, sf), LAG).select(*_r("copy_mse"), "n_pairs")
+
+
+@query
+def change_score(spark, sf):
+    return vectors.change_scores(B.features(spark, sf)).select("video_id", "clip_idx", *_r("change"))
+
+
+@query
+def change_topk_boundaries(spark, sf):
+    return vectors.top_changes(vectors.change_scores(B.features(spark, sf)), TOP).select("video_id", "clip_idx", *_r("change"))
+
+
+@query
+def video_mean(spark, sf):
+    means = vectors.group_means(B.features(spark, sf), "video_id")
+    return _flat(means.withColumnRenamed("mean", "embedding"), "video_id")
+
+
+@query
+def video_residual(spark, sf):
+    return _flat(vectors.residuals(B.features(spark, sf), "video_id"), "video_id", "clip_idx")
+
+
+@query
+def zscore_train_stats(spark, sf):
+    return vectors.dimension_stats(B.features(spark, sf).where("participant <> 0")).select("dim", *_r("mean", "sd"))
+
+
+@query
+def zscore_features(spark, sf):
+    f = B.features(spark, sf)
+    return _flat(vectors.standardised(f, f.where("participant <> 0")), "video_id", "clip_idx")
+
+
+def _codebook(spark: SparkSession, sf: str) -> DataFrame:
+    e = B.table(spark, sf, "embeddings").where(F.col("vec_id") < B.CODES)
+    return e.select(F.col("vec_id").cast("int").alias("code"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def _coded(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.nearest_code(B.features(spark, sf), _codebook(spark, sf))
+
+
+@query
+def nearest_code(spark, sf):
+    return _coded(spark, sf).select("video_id", "clip_idx", "code")
+
+
+@query
+def code_usage(spark, sf):
+    return vectors.code_usage(_coded(spark, sf))
+
+
+@query
+def code_perplexity(spark, sf):
+    return sequences.perplexity(_coded(spark, sf), "code").select(*_r("perplexity"))
+
+
+@query
+def dead_codes(spark, sf):
+    """Codes that no early clip of video 3 uses."""
+    return vectors.dead_codes(_codebook(spark, sf), _coded(spark, sf).where("video_id = 3 and clip_idx < 10"))
+
+
+@query
+def participant_codes(spark, sf):
+    """Participants numbered by their first video among those with a labelled clip; background clips are dropped."""
+    from pyspark.sql import Window as W
+
+    first = B.features(spark, sf).where("verb >= 0").groupBy("participant").agg(F.min("video_id").alias("first"))
+    return first.select("participant", (F.row_number().over(W.orderBy("first", "participant")) - 1).alias("code"))  # a row a participant
+
+
+@query
+def verb_categories(spark, sf):
+    """Verbs looked up in a category table, unknown ones as -1."""
+    table = spark.createDataFrame([(0, "browse"), (1, "fault"), (2, "trade"), (4, "browse")], "verb int, category string")
+    codes = table.select("category").distinct()
+    from pyspark.sql import Window as W
+
+    codes = table.join(codes.select("category", (F.dense_rank().over(W.orderBy("category")) - 1).alias("code")), "category")  # a row a category
+    rows = B.event_times(spark, sf).join(F.broadcast(codes.select(F.col("verb").alias("token"), "code")), "token", "left")
+    return rows.groupBy(F.coalesce("code", F.lit(-1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- splits -----------------------------------------------------------------
+
+
+@query
+def heldout_video_split(spark, sf):
+    videos = B.videos(spark, sf).withColumn("participant", F.col("video_id") % 5)
+    return splits.heldout_video(videos, FRACTION, SEED)
+
+
+@query
+def random_clip_split(spark, sf):
+    return splits.random_clip(B.features(spark, sf).select("video_id", "clip_idx"), ["video_id", "clip_idx"], FRACTION, SEED)
+
+
+@query
+def random_event_split(spark, sf):
+    return splits.random_clip(B.table(spark, sf, "events").select("event_id"), ["event_id"], FRACTION, SEED)
+
+
+@query
+def heldout_participant_split(spark, sf):
+    return splits.heldout_participant(B.features(spark, sf).select("video_id", "clip_idx", "participant"), [1, 3])
+
+
+@query
+def train_videos(spark, sf):
+    """All videos but the held-out ones: a set difference."""
+    split = heldout_video_split(spark, sf)
+    return B.videos(spark, sf).join(split.where("is_test"), "video_id", "left_anti")
+
+
+# --- hierarchy and sharding ---------------------------------------------------
+
+
+@query
+def bpe_pair_counts(spark, sf):
+    return hierarchy.pair_counts(hierarchy.run_streams(B.tokens(spark, sf))).select("a", "b", "n")
+
+
+@query
+def bpe_first_merge(spark, sf):
+    h = hierarchy.merge_hierarchy(B.tokens(spark, sf), [1])
+    return h.boundaries.select("video_id", F.col("pos").cast("long").alias("pos"))
+
+
+def _hierarchy(spark: SparkSession, sf: str) -> hierarchy.Hierarchy:
+    return hierarchy.merge_hierarchy(B.tokens(spark, sf), list(LEVELS))
+
+
+@query
+def bpe_merges(spark, sf):
+    return spark.createDataFrame(_hierarchy(spark, sf).merges, "step int, a int, b int, new int, n long")
+
+
+@query
+def bpe_level_boundaries(spark, sf):
+    return _hierarchy(spark, sf).boundaries.groupBy("merges", "video_id").agg(F.count(F.lit(1)).alias("n_boundaries"))
+
+
+@query
+def bpe_best_level(spark, sf):
+    """Boundary F1 of every level against errors' positions, the matched random baseline, and the level with the largest gain."""
+    tokens = B.tokens(spark, sf)
+    true = tokens.where(F.col("token") == B.EVENT_TYPES.index("error")).select("video_id", F.col("pos").cast("long").alias("t"))
+    found = _hierarchy(spark, sf).boundaries.select("video_id", F.col("merges").cast("long").alias("merges"), F.col("pos").cast("long").alias("t"))
+    sizes = tokens.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_pos"))
+    keys, tol = ["video_id", "merges"], F.lit(1).cast("long").alias("tol")
+    levels = found.select("video_id", "merges").distinct()
+    n = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"))
+    n_gt = true.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_gt"))
+    every = n.join(sizes, "video_id").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.col("n_pos") - 1))).alias("t"))
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(md5_key(F.lit(SEED), F.col("video_id"), F.col("merges"), F.col("t")), "t"))
+    drawn = every.withColumn("r", rank).where("r <= least(n_pred, n_pos - 1)").select(*keys, "t")
+    truth = true.join(levels, "video_id").select(*keys, "t", tol)
+    base = n.join(n_gt, "video_id")
+    for name, rows in (("model_f1", found), ("random_f1", drawn)):
+        tp = matching.greedy_matches(matching.candidates(rows.select(*keys, "t", tol), truth, keys), keys)
+        base = base.join(tp, keys, "left").na.fill(0, ["tp"]).withColumn(name, 2 * F.col("tp") / (F.col("n_pred") + F.col("n_gt"))).drop("tp")
+    means = base.groupBy("merges").agg(F.avg("model_f1").alias("model_f1"), F.avg("random_f1").alias("random_f1"))
+    return hierarchy.best_level(means).select("merges", *_r("model_f1", "random_f1", "gain"))
+
+
+@query
+def lpt_shards(spark, sf):
+    return hierarchy.balanced_shards(B.table(spark, sf, "documents"), SHARDS, "doc_id", "n_chars").select("shard", F.col("id").alias("doc_id"), "weight")
+
+
+@query
+def shard_spread(spark, sf):
+    totals = lpt_shards(spark, sf).groupBy("shard").agg(F.sum("weight").alias("total"))
+    return totals.agg(F.count(F.lit(1)).alias("n_shards"), F.min("total").alias("least"), F.max("total").alias("most"), (F.max("total") - F.min("total")).alias("spread"))
+
+
+@query
+def pending_items(spark, sf):
+    """Customers without an urgent open order: what an idempotent writer of those would have left to do."""
+    done = B.table(spark, sf, "orders").where("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'")
+    return writers.pending(B.table(spark, sf, "customer").select("c_custkey"), done.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+# --- classification -----------------------------------------------------------
+
+
+def _predictions(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = B.table(spark, sf, "documents"), B.table(spark, sf, "labels")
+    pred = (F.col("n_chars") >= 1500).cast("int").alias("y_pred")
+    return labels.join(docs.select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("quality").cast("int").alias("y_true"), pred)
+
+
+@query
+def macro_f1(spark, sf):
+    return classification.macro_f1(_predictions(spark, sf)).select(*_r("macro_f1"), "n_classes")
+
+
+@query
+def accuracy(spark, sf):
+    return classification.accuracy(_predictions(spark, sf)).select(*_r("accuracy"))
+
+
+@query
+def topk_accuracy(spark, sf):
+    """Scores of class c are the dimensions 0 to 9 of an embedding."""
+    rows = B.features(spark, sf).select(F.col("verb").alias("y_true"), F.slice("embedding", 1, 10).alias("scores"))
+    return classification.top_k_accuracy(rows, TOP).select(*_r("top_k"))
+
+
+@query
+def majority_baseline(spark, sf):
+    rows = B.event_times(spark, sf).select("video_id", F.col("token").alias("y_true"))
+    return classification.majority_baseline(rows.where("video_id % 5 <> 0"), rows.where("video_id % 5 = 0")).select("majority", *_r("accuracy"))
+
+
+@query
+def chance_baseline(spark, sf):
+    return classification.chance(B.event_times(spark, sf).select(F.col("token").alias("y_true"))).select(*_r("chance"))
+
+
+# --- learning -----------------------------------------------------------------
+
+
+@query
+def scene_projection(spark, sf):
+    """Features without the span of participants' means: what is left per participant and dimension."""
+    f = B.features(spark, sf)
+    out = vectors.project_out(f, vectors.group_subspace(f, "participant"))
+    means = vectors.group_means(out, "participant")
+    return _flat(means.withColumnRenamed("mean", "embedding"), "participant")
+
+
+def _probe(spark: SparkSession, sf: str, hidden: int | None) -> DataFrame:
+    f, rows = B.features(spark, sf), []
+    for name, split in (("heldout_participant", splits.heldout_participant(f, [1, 3])), ("heldout_video", f.join(splits.heldout_video(f.select("video_id", "participant").distinct(), FRACTION, SEED).select("video_id", "is_test"), "video_id"))):
+        scored = learning.probe_scores(split.where("not is_test"), split.where("is_test"), "verb", ["video_id", "clip_idx"], hidden=hidden, epochs=20).withColumn("y_true", F.col("verb"))
+        rows.append(scored.agg(F.lit(name).alias("split"), F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("top1"), F.count(F.lit(1)).alias("n_test")))
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def linear_probe(spark, sf):
+    return _probe(spark, sf, None)
+
+
+@query
+def mlp_probe(spark, sf):
+    return _probe(spark, sf, 64)
+
+
+@query
+def residual_probe(spark, sf):
+    """The linear probe on participants, over features without their video's mean."""
+    f = vectors.residuals(B.features(spark, sf), "video_id").withColumn("participant", F.col("participant").cast("int"))
+    split = splits.random_clip(f, ["video_id", "clip_idx"], FRACTION, SEED)
+    scored = learning.probe_scores(split.where("not is_test"), split.where("is_test"), "participant", ["video_id", "clip_idx"], epochs=20)
+    return scored.agg(F.avg((F.col("participant") == F.col("y_pred")).cast("double")).alias("top1"), F.count(F.lit(1)).alias("n_test"))
+
+
+@query
+def nsvq_tokens(spark, sf):
+    pairs = sequences.transitions(vectors.normalised(B.features(spark, sf)), LAG).select("video_id", "clip_idx", "embedding", "later")
+    out, _ = learning.transition_tokens(pairs, ["video_id", "clip_idx"], epochs=5)
+    return out.select("video_id", F.col("clip_idx").alias("pos"), "token")
