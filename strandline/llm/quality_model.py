@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import coded_words, slices
 
-LABELLED, POOL, ROUNDS, CONFIDENT = 8_000, 4_000, 3, 0.1
+LABELLED, POOL, ROUNDS, CONFIDENT = 6_000, 3_000, 3, 0.1
 LONGEST = 100_000
 META_BITS = 10
 REJECT = {"quality": 0.35, "toxic": 0.5}
@@ -199,7 +199,7 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def distinct_rows(x: Rows, sketch: int = 32, shared: int = 6, common: float = 0.02) -> np.ndarray:
+def distinct_rows(x: Rows, sketch: int = 24, shared: int = 5, common: float = 0.02) -> np.ndarray:
     """Row numbers without copies of earlier rows: copies share ``shared`` of their ``sketch`` smallest rare features.
 
     Copies would count one accident many times over and make any of their words look telling.
@@ -207,7 +207,7 @@ def distinct_rows(x: Rows, sketch: int = 32, shared: int = 6, common: float = 0.
     offsets, ids, _ = x
     keys, at, count = np.unique(ids, return_inverse=True, return_counts=True)
     rare = (count <= max(2, common * (len(offsets) - 1)))[at]
-    owner: dict[int, set[int]] = {}
+    owner: dict[int, list[int]] = {}
     kept = []
     for i in range(len(offsets) - 1):
         own = slice(offsets[i], offsets[i + 1])
@@ -220,7 +220,7 @@ def distinct_rows(x: Rows, sketch: int = 32, shared: int = 6, common: float = 0.
             continue
         kept.append(i)
         for h in least:
-            owner.setdefault(h, set()).add(i)
+            owner.setdefault(h, []).append(i)
     return np.array(kept, np.int64)
 
 
@@ -275,30 +275,52 @@ def co_train(text: Rows, meta: Rows, y: np.ndarray, labelled: np.ndarray, pool:
     return (views[0], views[1]), {"auc_text": marks[0], "auc_meta": marks[1], "pseudo": len(told[0]) + len(told[1]), "held_out": len(check)}
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> list:
-    """At most ``labelled`` + ``pool`` rows: text, lang, source, quality, toxic; the driver's only data."""
+def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> pa.Table:
+    """At most ``labelled`` + ``pool`` rows: both views' features, quality, toxic; the driver's only data."""
     mark = F.xxhash64(F.col("doc_id").cast("string"), F.lit(SAMPLE_SEED)).alias("mark")
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    ids = docs.where((F.col("doc_id").isNotNull()) & (F.length(F.coalesce("text", F.lit(""))) <= LONGEST)).select("doc_id")
+    short = docs.where((F.col("doc_id").isNotNull()) & (F.length(F.coalesce("text", F.lit(""))) <= LONGEST))
+    ids = short.select("doc_id")
     chosen = ids.join(known, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "quality", "toxic", mark).orderBy("mark", "doc_id").limit(labelled)
     others = ids.join(known.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     others = others.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), mark).orderBy("mark", "doc_id").limit(pool)
     wanted = chosen.unionByName(others)
-    rows = docs.where(F.length(F.coalesce("text", F.lit(""))) <= LONGEST).select("doc_id", "text", "lang", "source").join(F.broadcast(wanted), "doc_id")  # at most labelled + pool rows
-    return rows.dropDuplicates(["doc_id"]).select("mark", "text", "lang", "source", "quality", "toxic").collect()
+    rows = short.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    rows = rows.join(F.broadcast(wanted), "doc_id").select("mark", "text", "lang", "source", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))  # at most labelled + pool rows
+    names = ["mark", "words", "meta", "quality", "toxic"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                views = features(part.column("lang"), part.column("source"), part.column("text"))
+                lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(i.astype(np.int64))) for o, i, _ in views]
+                yield pa.RecordBatch.from_arrays([part.column("mark"), *lists, part.column("quality"), part.column("toxic")], names)
+
+    found = rows.mapInArrow(run, "mark long, words array<bigint>, meta array<bigint>, quality int, toxic int").toArrow()
+    marks = found.column("mark").to_numpy()
+    return found.take(pa.array(np.sort(np.unique(marks, return_index=True)[1]))).sort_by("mark").combine_chunks()
+
+
+def _rows(lists: pa.ChunkedArray) -> Rows:
+    chunk = lists.combine_chunks()
+    chunk = chunk.chunk(0) if isinstance(chunk, pa.ChunkedArray) and chunk.num_chunks else chunk
+    if not len(chunk):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    offsets = np.asarray(chunk.offsets, dtype=np.int64)
+    ids = np.asarray(chunk.values, dtype=np.int64)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], ids, np.ones(len(ids), np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained:
-    rows = sorted(sample(docs, labels, labelled, pool), key=lambda r: r["mark"])
-    texts = pa.array([r["text"] or "" for r in rows], pa.string())
-    text, meta = features(pa.array([r["lang"] for r in rows], pa.string()), pa.array([r["source"] for r in rows], pa.string()), texts)
+    rows = sample(docs, labels, labelled, pool)
+    text, meta = _rows(rows.column("words")), _rows(rows.column("meta"))
+    told = {t: np.array([-1 if x is None else x for x in rows.column(t).to_pylist()], np.int64) for t in REJECT}
+    everything = distinct_rows(text)
+    unlabelled = np.all([x < 0 for x in told.values()], axis=0)
     targets: dict[str, tuple[View, View] | None] = {}
     report: dict[str, dict[str, float]] = {}
-    everything = distinct_rows(text)
-    unlabelled = np.array([r["quality"] is None and r["toxic"] is None for r in rows], bool)
     for target in REJECT:
-        has = np.array([r[target] is not None for r in rows], bool)
-        y = np.array([r[target] == 1 for r in rows], bool)
+        has, y = told[target] >= 0, told[target] == 1
         both = min(y[has].sum(), (~y[has]).sum()) if has.any() else 0
         targets[target], report[target] = None, {}
         if both >= 4:
