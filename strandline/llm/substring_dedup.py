@@ -20,9 +20,8 @@ Skew: every group is pre-aggregated before its shuffle, and the joins back have
 their many-rows side free to be split by adaptive execution.
 
 Defined cases: null and empty text have no words, and the hash of the empty text;
-texts under ``width`` words keep everything; a null id counts as larger than all
-others and its rows never are a source; rows that repeat an id count as one
-document; an empty table gives an empty result; other columns are not read.
+texts under ``width`` words keep everything; rows with a null id keep everything
+and are no source; rows that repeat an id count as one document; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -155,17 +154,17 @@ def covered_spans(docs: DataFrame, width: int = WIDTH, kmer: int = KMER) -> Data
     ``docs`` has doc_id and text.
     """
     known = docs.where("doc_id is not null")
-    every = materialise(paths(docs, width, kmer), "paths")
+    every = materialise(paths(known, width, kmer), "paths")
     seen = every.groupBy("edge").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("edge")
     shared = materialise(every.join(seen, "edge").select("doc_id", "start", "n", "edge", "content"), "shared")
     distinct = materialise(shared.groupBy("edge", "content").agg(F.min("doc_id").alias("source")), "distinct")
     branching = distinct.groupBy("edge").agg((F.count(F.lit(1)) > 1).alias("branching"))
     answers = distinct.join(branching, "edge")
     told = materialise(shared.join(answers, ["edge", "content"]).select("doc_id", "start", "n", "source", "branching"), "told")
-    later = F.coalesce(F.col("source") < F.col("doc_id"), F.col("source").isNotNull())
+    later = F.col("source") < F.col("doc_id")
     whole = told.where(later).select("doc_id", "start", "n")
     spans = F.collect_set(F.struct("start", "n")).alias("spans")  # no more than a document has words
-    sources = told.where(~later & F.col("branching") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(spans)
+    sources = told.where(~later & F.col("branching")).groupBy("doc_id").agg(spans)
     windows = materialise(opened(known, sources, width), "windows")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source < other").drop("other")
     single = windows.join(least, ["h1", "h2"]).where("source < doc_id").select("doc_id", "start", F.lit(1).alias("n"))
