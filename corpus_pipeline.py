@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import scratch
+from strandline import scratch
 from strandline.llm.common import table
 from strandline.llm.exact_dedup import drop_exact_duplicates
 from strandline.llm.near_dedup import drop_near_duplicates

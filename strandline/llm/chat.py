@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import shuffle_width
-from strandline.llm.scratch import materialise
+from strandline.scratch import materialise
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")

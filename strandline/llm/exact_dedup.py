@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACES, boxed, id_text
-from strandline.llm.scratch import materialise
+from strandline.scratch import materialise
 
 _KEY = ["digest", "n_bytes", "witness"]
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import boxed, coded_words, id_text, slices
-from strandline.llm.scratch import materialise
+from strandline.scratch import materialise
 from strandline.llm.substring_dedup import Rolling, _mix
 
 WORDS, SIMILAR = 5, 0.8

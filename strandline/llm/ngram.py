@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import coded_words, id_text, slices
 from strandline.llm.elias_fano import EliasFano
-from strandline.llm.scratch import materialise, new_path
+from strandline.scratch import materialise, new_path
 
 FOLDS, HELD_OUT = 7, 2
 WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 20, 3_000_000

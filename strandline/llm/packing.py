@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.common import coded_words, id_text, shuffle_width, slices
-from strandline.llm.scratch import materialise
+from strandline.scratch import materialise
 
 CAPACITY = 4096
 END = 2

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACES, WORD, id_text
-from strandline.llm.scratch import materialise
+from strandline.scratch import materialise
 
 #: name -> failing condition over the measurements; the position is the bit.
 RULES: dict[str, str] = {

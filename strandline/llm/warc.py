@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import shuffle_width
-from strandline.llm.scratch import delete, materialise, new_path
+from strandline.scratch import delete, materialise, new_path
 
 ROLL_BYTES, ROLL_RECORDS = 24_000_000, 20_000
 _LEVEL = 4
