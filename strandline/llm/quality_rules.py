@@ -82,7 +82,11 @@ def measurements(docs: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The measurements and ``fail_bits`` (long), each rule evaluated once."""
+    """The measurements and ``fail_bits`` (long), each rule evaluated once.
+
+    Store it before filtering by a measurement: Catalyst would otherwise repeat
+    the whole expression inside the filter.
+    """
     bits = F.lit(0).cast("long")
     for rule, fails in RULES.items():
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(bit(rule))).otherwise(F.lit(0)).cast("long"))
