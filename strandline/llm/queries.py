@@ -90,4 +90,21 @@ ORACLES: dict[str, str] = {
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 <> 0 as base_failed, fail_bits = 0 as kept,
                fail_bits, n_lines, n_capitals from f
     """,
+    "op4_substring_dedup": r"""
+        with t as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from t)),
+        src as (select g, min(doc_id) as s from win group by g),
+        gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) as p from win join src using (g) where s < doc_id)),
+        word as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as x from t),
+        kept as (select doc_id, string_agg(x, ' ' order by p) as k, count(*) as n from word anti join gone using (doc_id, p) group by doc_id)
+        select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256 from t left join kept using (doc_id)
+    """,
+    "op8_warc": r"""
+        with t as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+        d as (select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+              1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::bigint >> (15 - 5 * (k % 4)))::bigint & 31), 1)), '') as payload_digest from t),
+        f as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first from d)
+        select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id <> first then first end as refers_to from f
+    """,
 }
