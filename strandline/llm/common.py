@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,25 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6_000_000) -> I
         stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back, so that idle Python workers of earlier steps don't hold it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library
+        return None
+
+
+_LIBC = _libc()
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:

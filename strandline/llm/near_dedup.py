@@ -11,10 +11,13 @@ counter: a fixed few megabytes at any corpus size, and the only thing broadcast.
 2. ``BANDS`` x ``ROWS`` consistent samples per document, banded into buckets.
 3. Each node is first compared with the smallest id of its buckets alone.  Pointer
    jumping over the verified pairs gives classes.
-4. A bucket whose members are still in several classes is then worked out in
-   full: every member outside its largest class is compared with every member of
-   another class.  No candidate pair is skipped unless it is within one class
-   already, so classes are those of all candidate pairs.
+4. A bucket whose members are still in several classes compares the members
+   outside its largest class with a few of that class, other ones each turn.
+5. What is unsettled even then is worked out in full: every member outside its
+   bucket's largest class is compared with every member of another class, but for
+   pairs that can't be similar because of the shingles only one of them has.  No
+   other candidate pair is skipped unless it is within one class already, so
+   classes are those of all candidate pairs.
 
 Pairs are verified by exact weighted Jaccard similarity over the whole texts.
 
@@ -41,11 +44,12 @@ from strandline.scratch import materialise
 from strandline.llm.substring_dedup import Rolling, _mix
 
 WORDS, SIMILAR = 5, 0.8
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 12, 4
+TURNS, STAND_INS = 3, 8
 SPREAD = 0.25
 SKETCH_BITS, BLOCKS = 20, 64
 FAN_IN = 64
-_SLICE, _CHUNK = 3_000_000, 40_000
+_SLICE, _CHUNK = 3_000_000, 80_000
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,6 +218,30 @@ def similarity(left: pa.Array, right: pa.Array, idf: Frequencies) -> np.ndarray:
     return np.where(total > 0, both / np.maximum(total - both, 1e-12), 1.0)
 
 
+def _sizes(texts: DataFrame, known: Broadcast) -> DataFrame:
+    """doc_id, total, own: a document's weight, and the weight of shingles that no other of ``texts`` has.
+
+    Two of these documents share at most ``total - own`` of either, and their
+    union holds the total of the one and what is the other's own: an exact upper
+    bound of their similarity.
+    """
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                bounds, hashes, counts, _ = shingles(part.column("text"))
+                rows = pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))
+                weight = known.value.weights(hashes, counts).astype(float)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), pa.array(hashes.view(np.int64)), pa.array(weight)], ["doc_id", "hash", "w"])
+
+    each = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hash long, w double"), "shingles")
+    single = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("w").alias("w")).where("n = 1")
+    total = each.groupBy("doc_id").agg(F.sum("w").alias("total"))
+    own = single.groupBy("doc_id").agg(F.sum("w").alias("own"))
+    return total.join(own, "doc_id", "left").na.fill(0.0, ["own"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, known: Broadcast) -> DataFrame:
     """The pairs (a, b) that are similar enough."""
 
@@ -257,6 +285,15 @@ def _components(edges: DataFrame) -> DataFrame:
             return out
 
 
+def _unsettled(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """band, bucket, doc_id, root, main: members of buckets that hold several classes; ``main`` is a bucket's largest."""
+    of = classes.select(F.col("node").alias("doc_id"), "root")
+    placed = materialise(shared.join(of, "doc_id", "left").select("band", "bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed")
+    per = placed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = per.groupBy("band", "bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return materialise(placed.join(materialise(several.select("band", "bucket", F.col("most.root").alias("main")), "several"), ["band", "bucket"]), "open")
+
+
 def _follow(classes: DataFrame, step: DataFrame) -> DataFrame:
     up = step.select(F.col("node").alias("root"), F.col("root").alias("higher"))
     return materialise(classes.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")), "classes")
@@ -286,22 +323,27 @@ def near_classes(docs: DataFrame) -> DataFrame:
     pairs = shared.groupBy("doc_id").agg(F.min("leader").alias("a")).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
     first = materialise(_verified(pairs, texts, idf), "links")
     classes = _roots(first.select(F.col("b").alias("node"), F.col("a").alias("root")))
-
-    of = classes.select(F.col("node").alias("doc_id"), "root")
-    placed = materialise(shared.join(of, "doc_id", "left").select("band", "bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed")
-    per = placed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = per.groupBy("band", "bucket").agg(F.max(F.struct(F.col("n"), F.col("root"))).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    largest = materialise(largest.select("band", "bucket", F.col("most.root").alias("main")), "largest")
-    open_ = materialise(placed.join(largest, ["band", "bucket"]), "open")
-    outside = open_.where("root <> main").select("band", "bucket", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-    against = open_.select("band", "bucket", F.col("doc_id").alias("y"), F.col("root").alias("ry"))
-    left = outside.join(against, ["band", "bucket"]).where("rx <> ry")
-    left = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = materialise(_verified(materialise(left, "pairs"), texts, idf), "links")
-    if not second.isEmpty():
-        merged = _renamed(second, classes).distinct()
+    tried = pairs
+    for turn in range(TURNS):
+        open_ = _unsettled(shared, classes)
+        outside = open_.where("root <> main").select("band", "bucket", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
+        if turn < TURNS - 1:  # a few members of the largest class, others each turn
+            mark = F.xxhash64("doc_id", F.lit(turn))
+            few = open_.where("root = main").groupBy("band", "bucket", F.pmod(mark, F.lit(STAND_INS)).alias("s"))
+            against = few.agg(F.min(F.struct(mark.alias("m"), "doc_id", "root")).alias("y")).select("band", "bucket", F.col("y.doc_id").alias("y"), F.col("y.root").alias("ry"))
+            near = F.lit(True)
+        else:
+            sizes = materialise(_sizes(texts.join(open_.select("doc_id").distinct(), "doc_id"), idf), "sizes")
+            open_ = materialise(open_.join(sizes.where(F.col("total") - F.col("own") >= SIMILAR * F.col("total") - 1e-3), "doc_id"), "bounded")
+            side = lambda x: [F.col("doc_id").alias(x), F.col("root").alias(f"r{x}"), F.col("total").alias(f"t{x}"), F.col("own").alias(f"o{x}")]
+            outside, against = open_.where("root <> main").select("band", "bucket", *side("x")), open_.select("band", "bucket", *side("y"))
+            near = F.least(F.expr("tx - ox"), F.expr("ty - oy")) >= SIMILAR * F.greatest(F.expr("tx + oy"), F.expr("ty + ox")) - 1e-3
+        left = outside.join(against, ["band", "bucket"]).where((F.col("rx") != F.col("ry")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        left = materialise(left.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(left)
+        merged = materialise(_renamed(_verified(left, texts, idf), classes).distinct(), "edges")
         if not merged.isEmpty():
-            step = _components(materialise(merged, "edges"))
+            step = _components(merged)
             classes = _follow(classes, step).unionByName(step.join(classes, "node", "left_anti"))
     top = nodes.join(classes, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
     found = rows.join(top, ["k1", "k2"], "left")

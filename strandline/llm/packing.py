@@ -37,7 +37,7 @@ from strandline.scratch import materialise
 
 CAPACITY = 4096
 END = 2
-_CACHE = 400_000
+_CACHE = 250_000
 _LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 _SIMPLE = re.compile(f"([{_LETTERS}]*)([.,;:!?|#$%&*]*)")
 
@@ -130,7 +130,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(path)
         for batch in batches:
-            for part in slices(batch, "text", 6_000_000):
+            for part in slices(batch, "text", 3_000_000):
                 bounds, ids = words.encode(part.column("text"), end)
                 total = np.diff(bounds)
                 k = -(-total // capacity)
