@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import boxed, coded_words, id_text, slices
 from strandline.scratch import materialise
-from strandline.llm.substring_dedup import Rolling, _mix
+from strandline.llm.substring_dedup import Rolling, _mix, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -55,13 +55,14 @@ _SLICE, _CHUNK = 3_000_000, 80_000
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bounds, hashes, counts, keys): distinct shingles of row i, ascending, and a 128-bit key of its word sequence."""
     offsets, codes, dictionary = coded_words(texts)
-    one, two = Rolling(codes, dictionary, 0), Rolling(codes, dictionary, 1)
+    table = word_hashes(dictionary)
+    one, two = Rolling(codes, table, 0), Rolling(codes, table, 1)
     size = np.diff(offsets)
     n = np.where(size >= words, size - words + 1, np.minimum(size, 1))
     row = np.repeat(np.arange(len(size)), n)
     at = np.arange(len(row)) + np.repeat(offsets[:-1] - np.cumsum(n) + n, n)
     hashes = one.of(at, np.minimum(at + words, offsets[1:][row]))
-    order = np.lexsort((hashes, row))
+    order = _by_row(row, hashes)
     row, hashes = row[order], hashes[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
@@ -70,6 +71,15 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(row[first], np.arange(len(size) + 1)), hashes[first], np.diff(np.append(first, len(row))), keys
 
 
+def _by_row(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order by row, then by the upper 44 bits of the hash: one sort of machine words.
+
+    A batch has under 2^20 rows.  Equal hashes come together unless a third one
+    of the same row shares their upper bits and falls between.
+    """
+    return np.argsort(row.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20), kind="stable" if len(row) < 64 else None)
+
+
 class Frequencies:
     """The sketch as a function from shingles to idf."""
 
@@ -210,7 +220,7 @@ def similarity(left: pa.Array, right: pa.Array, idf: Frequencies) -> np.ndarray:
         hashes.append(h)
         weights.append(idf.weights(h, counts).astype(float))
     row, h, w = np.concatenate(rows), np.concatenate(hashes), np.concatenate(weights)
-    order = np.lexsort((h, row))
+    order = _by_row(row, h)
     row, h, w = row[order], h[order], w[order]
     twice = np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1]))
     both = np.bincount(row[twice], np.minimum(w[twice], w[twice + 1]), len(left))
@@ -323,23 +333,25 @@ def near_classes(docs: DataFrame) -> DataFrame:
     pairs = shared.groupBy("doc_id").agg(F.min("leader").alias("a")).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
     first = materialise(_verified(pairs, texts, idf), "links")
     classes = _roots(first.select(F.col("b").alias("node"), F.col("a").alias("root")))
-    tried = pairs
+    tried, sizes = pairs, None
     for turn in range(TURNS):
         open_ = _unsettled(shared, classes)
-        outside = open_.where("root <> main").select("band", "bucket", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
+        if sizes is None:
+            sizes = materialise(_sizes(texts.join(open_.select("doc_id").distinct(), "doc_id"), idf), "sizes")
+        open_ = materialise(open_.join(sizes.where(F.col("total") - F.col("own") >= SIMILAR * F.col("total") - 1e-3), "doc_id"), "bounded")
+        side = lambda x: [F.col("doc_id").alias(x), F.col("root").alias(f"r{x}"), F.col("total").alias(f"t{x}"), F.col("own").alias(f"o{x}")]
+        outside = open_.where("root <> main").select("band", "bucket", *side("x"))
+        against = open_.select("band", "bucket", *side("y"))
         if turn < TURNS - 1:  # a few members of the largest class, others each turn
             mark = F.xxhash64("doc_id", F.lit(turn))
             few = open_.where("root = main").groupBy("band", "bucket", F.pmod(mark, F.lit(STAND_INS)).alias("s"))
-            against = few.agg(F.min(F.struct(mark.alias("m"), "doc_id", "root")).alias("y")).select("band", "bucket", F.col("y.doc_id").alias("y"), F.col("y.root").alias("ry"))
-            near = F.lit(True)
-        else:
-            sizes = materialise(_sizes(texts.join(open_.select("doc_id").distinct(), "doc_id"), idf), "sizes")
-            open_ = materialise(open_.join(sizes.where(F.col("total") - F.col("own") >= SIMILAR * F.col("total") - 1e-3), "doc_id"), "bounded")
-            side = lambda x: [F.col("doc_id").alias(x), F.col("root").alias(f"r{x}"), F.col("total").alias(f"t{x}"), F.col("own").alias(f"o{x}")]
-            outside, against = open_.where("root <> main").select("band", "bucket", *side("x")), open_.select("band", "bucket", *side("y"))
-            near = F.least(F.expr("tx - ox"), F.expr("ty - oy")) >= SIMILAR * F.greatest(F.expr("tx + oy"), F.expr("ty + ox")) - 1e-3
+            few = few.agg(F.min(F.struct(mark.alias("m"), "doc_id", "root", "total", "own")).alias("y"))
+            against = few.select("band", "bucket", "y.*").select("band", "bucket", *side("y"))
+        near = F.least(F.expr("tx - ox"), F.expr("ty - oy")) >= SIMILAR * F.greatest(F.expr("tx + oy"), F.expr("ty + ox")) - 1e-3
         left = outside.join(against, ["band", "bucket"]).where((F.col("rx") != F.col("ry")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         left = materialise(left.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if left.isEmpty():
+            continue
         tried = tried.unionByName(left)
         merged = materialise(_renamed(_verified(left, texts, idf), classes).distinct(), "edges")
         if not merged.isEmpty():

@@ -50,18 +50,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_BYTES = [_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in _BASES]
+_LONG = 256
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Two independent 64-bit hashes of each word, from its bytes; words over ``_LONG`` bytes are hashed one by one."""
+    flat = words.cast(pa.large_binary())
+    bounds = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    if not len(flat):
+        return np.zeros((2, 1), np.uint64)
+    data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    start, stop = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+    out = np.empty((2, len(flat)), np.uint64)
+    for k, base in enumerate(_BASES):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[k][data] * _powers(base, len(data)), dtype=np.uint64)])
+        value = (sums[stop] - sums[start]) * _powers(pow(base, -1, 1 << 64), len(data) + 1)[start]
+        out[k] = _mix(value ^ (stop - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    for i in np.flatnonzero(stop - start > _LONG):
+        out[:, i] = np.frombuffer(xxhash.xxh3_128_digest(flat[int(i)].as_py()), np.uint64)
+    return out
+
+
 class Rolling:
     """Hashes of any run of words, from prefix sums of a polynomial modulo 2^64."""
 
-    def __init__(self, codes: np.ndarray, words: pa.Array, family: int):
-        raw = [w.as_buffer().to_pybytes() for w in words.cast(pa.large_binary())]
-        table = np.array([xxhash.xxh3_64_intdigest(w, seed=family + 1) for w in raw] or [0], np.uint64)
+    def __init__(self, codes: np.ndarray, table: np.ndarray, family: int):
         base, n = _BASES[family], len(codes)
-        powers = np.full(n + 1, np.uint64(base))
-        inverse = np.full(n + 1, np.uint64(pow(base, -1, 1 << 64)))
-        powers[0] = inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[codes] * np.multiply.accumulate(powers)[:n], dtype=np.uint64)])
+        self.inverse = _powers(pow(base, -1, 1 << 64), n + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[family][codes] * _powers(base, n), dtype=np.uint64)])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hash of words start..stop, the length mixed in."""
@@ -97,7 +120,8 @@ def paths_of(texts: pa.Array, width: int, kmer: int) -> tuple[np.ndarray, ...]:
     at = _windows(offsets, width)
     if not len(at):
         return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)), count)
-    one, two = Rolling(codes, words, 0), Rolling(codes, words, 1)
+    table = word_hashes(words)
+    one, two = Rolling(codes, table, 0), Rolling(codes, table, 1)
     every = np.arange(len(codes) - kmer + 1)
     edge = sliding_min(one.of(every, every + kmer), width - kmer + 1)[at]
     row = np.searchsorted(offsets, at, "right") - 1
@@ -134,7 +158,8 @@ def opened(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", _BATCH):
                 offsets, codes, words = coded_words(part.column("text"))
-                one, two = Rolling(codes, words, 0), Rolling(codes, words, 1)
+                table = word_hashes(words)
+                one, two = Rolling(codes, table, 0), Rolling(codes, table, 1)
                 spans, flat = part.column("spans"), part.column("spans").flatten()
                 per = np.diff(np.asarray(spans.offsets))
                 row = np.repeat(np.arange(part.num_rows), per)
@@ -167,6 +192,7 @@ def covered_spans(docs: DataFrame, width: int = WIDTH, kmer: int = KMER) -> Data
     sources = told.where(~later & F.col("branching")).groupBy("doc_id").agg(spans)
     windows = materialise(opened(known, sources, width), "windows")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source < other").drop("other")
+    least = materialise(least, "least")  # the join below then meets two plain shuffles, whose large parts can be split
     single = windows.join(least, ["h1", "h2"]).where("source < doc_id").select("doc_id", "start", F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy("doc_id").agg(spans)
 
