@@ -334,6 +334,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     first = materialise(_verified(pairs, texts, idf), "links")
     classes = _roots(first.select(F.col("b").alias("node"), F.col("a").alias("root")))
     tried, sizes = pairs, None
+    keys = signed.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "bands")).alias("s")).select("doc_id", "s.bands")
     for turn in range(TURNS):
         open_ = _unsettled(shared, classes)
         if sizes is None:
@@ -341,14 +342,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
         open_ = materialise(open_.join(sizes.where(F.col("total") - F.col("own") >= SIMILAR * F.col("total") - 1e-3), "doc_id"), "bounded")
         side = lambda x: [F.col("doc_id").alias(x), F.col("root").alias(f"r{x}"), F.col("total").alias(f"t{x}"), F.col("own").alias(f"o{x}")]
         outside = open_.where("root <> main").select("band", "bucket", *side("x"))
-        against = open_.select("band", "bucket", *side("y"))
+        against = open_.select("band", "bucket", *side("y"), (F.col("root") == F.col("main")).alias("inner"))
+        outside, against = (df.join(keys.select(F.col("doc_id").alias(k), F.col("bands").alias(f"b{k}")), k) for df, k in ((outside, "x"), (against, "y")))
+        # a pair once: in the first band its documents share, and from the side of the smaller id if both are outside
+        once = (F.expr("array_position(zip_with(bx, by, (p, q) -> p = q), true)") == F.col("band") + 1) & (F.col("inner") | (F.col("x") < F.col("y")))
         if turn < TURNS - 1:  # a few members of the largest class, others each turn
             mark = F.xxhash64("doc_id", F.lit(turn))
             few = open_.where("root = main").groupBy("band", "bucket", F.pmod(mark, F.lit(STAND_INS)).alias("s"))
             few = few.agg(F.min(F.struct(mark.alias("m"), "doc_id", "root", "total", "own")).alias("y"))
-            against = few.select("band", "bucket", "y.*").select("band", "bucket", *side("y"))
+            against, once = few.select("band", "bucket", "y.*").select("band", "bucket", *side("y")), F.lit(True)
         near = F.least(F.expr("tx - ox"), F.expr("ty - oy")) >= SIMILAR * F.greatest(F.expr("tx + oy"), F.expr("ty + ox")) - 1e-3
-        left = outside.join(against, ["band", "bucket"]).where((F.col("rx") != F.col("ry")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        left = outside.join(against, ["band", "bucket"]).where((F.col("rx") != F.col("ry")) & near & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         left = materialise(left.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if left.isEmpty():
             continue
