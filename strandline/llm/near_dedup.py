@@ -44,7 +44,7 @@ from strandline.scratch import materialise
 from strandline.llm.substring_dedup import Rolling, _mix, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 14, 4
 TURNS, STAND_INS = 3, 8
 SPREAD = 0.25
 SKETCH_BITS, BLOCKS = 20, 64

@@ -156,6 +156,19 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - np.minimum(weights, other).sum() / np.maximum(weights, other).sum()) < 0.03
 
 
+def test_isolated_pairs_at_the_threshold_share_a_band():
+    """20,000 pairs of similarity 0.8, 40 shingles of 50 in common: at most one in a thousand is no candidate."""
+    rng, n = np.random.default_rng(8), 20_000
+    shared, own = rng.integers(0, 2**63, (n, 40)), rng.integers(0, 2**63, (2, n, 5))
+    bounds, weights = np.arange(n + 1) * 45, np.ones(n * 45, np.float32)
+    bands = []
+    for x in own:
+        hashes = np.sort(np.hstack([shared, x]), 1).astype(np.uint64).reshape(-1)
+        bands.append(near_dedup.samples(bounds, hashes, weights, near_dedup.BANDS * near_dedup.ROWS).reshape(n, near_dedup.BANDS, near_dedup.ROWS))
+    missed = ~(bands[0] == bands[1]).all(2).any(1)
+    assert missed.mean() < 0.001
+
+
 def test_components_of_random_graph(spark):
     rng = random.Random(9)
     edges = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(120)) if a != b}
