@@ -3,9 +3,10 @@
 A document is its set of five-word shingles (all its words, if fewer) with weight
 ``(1 + ln tf) * idf``.  ``idf`` runs from 1 (in all documents) to ``1 + SPREAD``
 (in one), so that a text's copies, which make its own shingles common, can't talk
-it out of being a duplicate.  Document frequencies are counted over all documents
-into a sketch of ``2^SKETCH_BITS`` counters, corrected for the mean load of a
-counter: a fixed few megabytes at any corpus size, and the only thing broadcast.
+it out of being a duplicate.  Document frequencies are exact: every distinct shingle
+hash is counted over all documents, in hash-range shards whose number grows with
+the corpus.  Shingles in two documents or more are kept in sorted files in the
+shared folder that executors memory-map; all others are in one.
 
 1. Documents of equal word sequences are one node, the smallest id standing for it.
 2. ``BANDS`` x ``ROWS`` consistent samples per document, banded into buckets.
@@ -29,7 +30,6 @@ carries them).
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import boxed, coded_words, id_text, slices
-from strandline.scratch import materialise
+from strandline.llm.ngram import Gathered, _load, _merge, _save, _squeeze, _unsqueeze
+from strandline.scratch import drop, mark, materialise, new_path
 from strandline.llm.substring_dedup import Rolling, _mix, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 4
 TURNS, STAND_INS = 3, 8
 SPREAD = 0.25
-SKETCH_BITS, BLOCKS = 20, 64
-FAN_IN = 64
+CHARS_A_SHARD = 8_000_000
 _SLICE, _CHUNK = 3_000_000, 80_000
 
 
@@ -81,65 +81,90 @@ def _by_row(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Frequencies:
-    """The sketch as a function from shingles to idf."""
-
-    def __init__(self, sketch: np.ndarray, documents: int):
-        total = float(sketch.sum())
-        load = (total - sketch) / max(1, len(sketch) - 1)
-        seen = sketch - load
-        df = np.where(seen > 4 * np.sqrt(load) + 1, seen, 1.0)
-        scale = np.log(documents + 1) or 1.0
-        self.idf = (1 + SPREAD * np.log((documents + 1) / (np.clip(df, 1, max(documents, 1)) + 1)).clip(0) / scale).astype(np.float32)
+    """Document frequencies as a function from shingles to idf; ``sizes`` are the shingles stored in each hash-range shard."""
+
+    def __init__(self, folder: str, bits: int, sizes: tuple[int, ...], documents: int):
+        self.folder, self.bits, self.sizes, self.documents = folder, bits, sizes, documents
+
+    def df(self, hashes: np.ndarray) -> np.ndarray:
+        """Documents that hold each shingle, 1 for those not stored."""
+        out = np.ones(len(hashes), np.int64)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        cut = _cut(ranked, self.bits)
+        for k in np.flatnonzero(np.diff(cut)):
+            if self.sizes[k]:
+                keys, counts = (_load(self.folder, f"df-{k}", x) for x in ("key", "count"))
+                wanted = ranked[cut[k] : cut[k + 1]]
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == wanted)
+                out[order[cut[k] + hit]] = counts[at[hit]]
+        return out
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        return self.idf[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        scale = np.log(self.documents + 1) or 1.0
+        return (1 + SPREAD * np.log((self.documents + 1) / (self.df(hashes) + 1)).clip(0) / scale).astype(np.float32)
 
     def weights(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return ((1 + np.log(counts)) * self.of(hashes)).astype(np.float32)
 
 
+def _cut(ranked: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of ``2^bits`` hash ranges starts among ascending hashes, and the end."""
+    return np.append(np.searchsorted(ranked, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(ranked))
+
+
 def _survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (doc_id, k1, k2) of every document, and (block, part, counts) of every task."""
-    names = ["doc_id", "k1", "k2", "block", "part", "counts"]
-    width = (1 << SKETCH_BITS) // BLOCKS
+    """Rows of two kinds: (doc_id, k1, k2) of every document, and (shard, bits, first, keys, counts) of a task's distinct shingles, block by block."""
+    names = ["doc_id", "k1", "k2", "shard", "bits", "first", "keys", "counts"]
+    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    bits = max(3, (chars // CHARS_A_SHARD).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        held, kind = Gathered(), None
+
+        def out() -> pa.RecordBatch:
+            keys, counts = held.take()
+            cut = _cut(keys, bits)
+            rows = [(k, bits, int(keys[a : a + 1].view(np.int64)[0]), _squeeze(np.diff(keys[a:b], prepend=keys[a])), _squeeze(counts[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), kind), *(pa.nulls(len(rows), pa.int64()) for _ in range(2)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
-        sketch, kind = np.zeros(1 << SKETCH_BITS, np.uint32), None
         for batch in batches:
             kind = batch.column("doc_id").type
             for part in slices(batch, "text", _SLICE):
                 _, hashes, _, keys = shingles(part.column("text"))
-                sketch += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in (0, 1)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in (0, 1)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+                if held.add(*_merge([hashes], [np.ones(len(hashes), np.int64)])):
+                    yield out()
         if kind is not None:
-            task, n = TaskContext.get().partitionId(), BLOCKS
-            blocks = [zlib.compress(sketch[k * width : (k + 1) * width].tobytes(), 1) for k in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array(blocks, pa.binary())], names)
+            yield out()
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, block int, part int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, shard int, bits int, first long, keys binary, counts binary")
 
 
 def _frequencies(survey: DataFrame) -> Frequencies:
-    """Sum the tasks' sketches up a tree of ``FAN_IN``; the driver gets one sketch."""
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(b), np.uint32).astype(np.uint64) for b in frame["counts"])
-        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "part": [int(frame["part"].iloc[0]) // FAN_IN], "counts": [zlib.compress(total.astype(np.uint32).tobytes(), 1)]})
-
-    parts = survey.where("block is not null").select("block", "part", "counts")
-    most = parts.agg(F.max("part").alias("m")).first()["m"]
-    while most:
-        parts = parts.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("up")).applyInPandas(add, "block int, part int, counts binary")
-        most //= FAN_IN
-    rows = parts.collect()  # BLOCKS rows
-    sketch = np.zeros(1 << SKETCH_BITS)
-    width = len(sketch) // BLOCKS
+    """Merge the tasks' blocks shard by shard; the driver gets a row a shard."""
+    folder = new_path(survey.sparkSession, "frequencies")
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        k = int(frame["shard"].iloc[0])
+        firsts = frame["first"].to_numpy(np.int64).view(np.uint64)
+        keys, counts = _merge([np.cumsum(_unsqueeze(b, np.uint64), dtype=np.uint64) + f for f, b in zip(firsts, frame["keys"], strict=True)], [_unsqueeze(b, np.int64) for b in frame["counts"]])
+        often = counts > 1
+        if often.any():
+            _save(folder, f"df-{k}", key=keys[often], count=counts[often])
+        return pd.DataFrame({"shard": [k], "bits": [int(frame["bits"].iloc[0])], "n": [int(often.sum())]})
+
+    blocks = survey.where("shard is not null").select("shard", "bits", "first", "keys", "counts")
+    rows = blocks.groupBy("shard").applyInPandas(merge, "shard int, bits int, n long").collect()  # a row a shard
+    bits = rows[0]["bits"] if rows else 3
+    sizes = [0] * (1 << bits)
     for r in rows:
-        sketch[r["block"] * width : (r["block"] + 1) * width] += np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return Frequencies(sketch, survey.where("block is null").count())
+        sizes[r["shard"]] = r["n"]
+    return Frequencies(folder, bits, tuple(sizes), survey.where("shard is null").count())
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -318,9 +343,12 @@ def _renamed(edges: DataFrame, step: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, kept of (doc_id, text), one row per row; ``class_id`` is the smallest id of the class."""
+    before = mark()
     survey = materialise(_survey(docs), "survey")
+    blocks = mark() - before
     idf = docs.sparkSession.sparkContext.broadcast(_frequencies(survey))
-    rows = survey.where("block is null").select("doc_id", "k1", "k2")
+    rows = materialise(survey.where("shard is null").select("doc_id", "k1", "k2"), "rows")
+    drop(blocks)
     nodes = materialise(rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
     reps = nodes.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("node").alias("doc_id"), "k.k1", "k.k2")
     signed = materialise(_signatures(docs.where("doc_id is not null"), idf), "signed")
@@ -347,9 +375,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
         # a pair once: in the first band its documents share, and from the side of the smaller id if both are outside
         once = (F.expr("array_position(zip_with(bx, by, (p, q) -> p = q), true)") == F.col("band") + 1) & (F.col("inner") | (F.col("x") < F.col("y")))
         if turn < TURNS - 1:  # a few members of the largest class, others each turn
-            mark = F.xxhash64("doc_id", F.lit(turn))
-            few = open_.where("root = main").groupBy("band", "bucket", F.pmod(mark, F.lit(STAND_INS)).alias("s"))
-            few = few.agg(F.min(F.struct(mark.alias("m"), "doc_id", "root", "total", "own")).alias("y"))
+            draw = F.xxhash64("doc_id", F.lit(turn))
+            few = open_.where("root = main").groupBy("band", "bucket", F.pmod(draw, F.lit(STAND_INS)).alias("s"))
+            few = few.agg(F.min(F.struct(draw.alias("m"), "doc_id", "root", "total", "own")).alias("y"))
             against, once = few.select("band", "bucket", "y.*").select("band", "bucket", *side("y")), F.lit(True)
         near = F.least(F.expr("tx - ox"), F.expr("ty - oy")) >= SIMILAR * F.greatest(F.expr("tx + oy"), F.expr("ty + ox")) - 1e-3
         left = outside.join(against, ["band", "bucket"]).where((F.col("rx") != F.col("ry")) & near & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -125,6 +125,24 @@ def test_near_against_brute_force(make_docs, hard_pairs):
     assert got[21] == got[22] == got[23] == 20
 
 
+def test_document_frequencies_are_exact_at_any_load(make_docs, hard_pairs, monkeypatch):
+    """Many more distinct shingles than the sketch of 2^20 counters had, in small shards."""
+    monkeypatch.setattr(near_dedup, "CHARS_A_SHARD", 500_000)
+    rng = np.random.default_rng(12)
+    many = [(1000 + k, " ".join([*(f"m{x}" for x in rng.integers(0, 10**6, 9000)), *(["five words in many documents"] if k < 3 else [])])) for k in range(150)]
+    pairs = hard_pairs + many
+    want = Counter()
+    for _, t in pairs:
+        want.update(set(near_dedup.shingles(pa.array([t or ""]))[1].tolist()))
+    idf = near_dedup._frequencies(near_dedup._survey(near_dedup.id_text(make_docs(pairs))))
+    hashes = np.array(list(want), np.uint64)
+    df = np.array(list(want.values()))
+    assert len(want) > 1 << 20 and idf.documents == len(pairs)
+    assert (idf.df(hashes) == df).all()
+    n = len(pairs)
+    assert np.allclose(idf.of(hashes), 1 + near_dedup.SPREAD * np.log((n + 1) / (df + 1)) / np.log(n + 1))
+
+
 def test_near_chain_is_one_class(make_docs):
     rng = random.Random(2)
     text = [f"u{rng.randrange(10**6)}" for _ in range(400)]
