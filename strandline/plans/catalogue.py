@@ -264,6 +264,12 @@ def dead_codes(spark, sf):
     return vectors.dead_codes(_codebook(spark, sf), _coded(spark, sf).where("video_id = 3 and clip_idx < 10"))
 
 
+@query
+def dead_codes_all(spark, sf):
+    """Codes that no clip uses."""
+    return vectors.dead_codes(_codebook(spark, sf), _coded(spark, sf))
+
+
 @query
 def participant_codes(spark, sf):
     """Participants numbered by their first video among those with a labelled clip; background clips are dropped."""

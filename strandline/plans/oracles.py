@@ -118,6 +118,7 @@ ORACLES: dict[str, str] = {
     "code_usage": f"with {_CODE} select code, count(*) as n from coded group by 1",
     "code_perplexity": f"with {_CODE}, c as (select count(*) / (select count(*) from coded) as p from coded group by code) select round(exp(-sum(p * ln(p))), 6) as perplexity from c",
     "dead_codes": f"with {_CODE} select code from book where code not in (select code from coded where video_id = 3 and clip_idx < 10)",
+    "dead_codes_all": f"with {_CODE} select code from book where code not in (select code from coded)",
     "participant_codes": f"with {_FEAT} select participant, (row_number() over (order by min(video_id), participant) - 1)::int as code from feat where verb >= 0 group by 1",
     "verb_categories": f"with {_EV} select case token when 0 then 0 when 4 then 0 when 1 then 1 when 2 then 2 else -1 end as code, count(*) as n from ev group by 1",
     "heldout_video_split": f"""with v as (select distinct user_id as video_id, user_id % 5 as participant from events)
