@@ -18,7 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES = oracles.ORACLES
 
-LAG, TOP, SEED, FRACTION, TRIALS, LEVELS, SHARDS = 3, 5, 7, 0.2, 4, (0, 1, 2, 4, 8), 8
+LAG, TOP, SEED, FRACTION, TRIALS, SHARDS = 3, 5, 7, 0.2, 4, 8
+LEVELS, BASELINES = hierarchy.geometric_levels(64, 25), 20
 
 
 def query(f: Query) -> Query:
@@ -337,7 +338,7 @@ def bpe_first_merge(spark, sf):
 
 
 def _hierarchy(spark: SparkSession, sf: str) -> hierarchy.Hierarchy:
-    return hierarchy.merge_hierarchy(B.tokens(spark, sf), list(LEVELS))
+    return hierarchy.merge_hierarchy(B.tokens(spark, sf), LEVELS)
 
 
 @query
@@ -352,7 +353,7 @@ def bpe_level_boundaries(spark, sf):
 
 @query
 def bpe_best_level(spark, sf):
-    """Boundary F1 of every level against errors' positions, the matched random baseline, and the level with the largest gain."""
+    """Boundary F1 of every level against errors' positions, the matched random baseline averaged over ``BASELINES`` draws, and the level with the largest gain."""
     tokens = B.tokens(spark, sf)
     true = tokens.where(F.col("token") == B.EVENT_TYPES.index("error")).select("video_id", F.col("pos").cast("long").alias("t"))
     found = _hierarchy(spark, sf).boundaries.select("video_id", F.col("merges").cast("long").alias("merges"), F.col("pos").cast("long").alias("t"))
@@ -364,13 +365,16 @@ def bpe_best_level(spark, sf):
     every = n.join(sizes, "video_id").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.col("n_pos") - 1))).alias("t"))
     from pyspark.sql import Window as W
 
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(md5_key(F.lit(SEED), F.col("video_id"), F.col("merges"), F.col("t")), "t"))
-    drawn = every.withColumn("r", rank).where("r <= least(n_pred, n_pos - 1)").select(*keys, "t")
+    each, trial = [*keys, "trial"], F.explode(F.sequence(F.lit(0), F.lit(BASELINES - 1))).alias("trial")
+    rank = F.row_number().over(W.partitionBy(*each).orderBy(md5_key(F.lit(SEED), *[F.col(c) for c in each], F.col("t")), "t"))
+    drawn = every.select("*", trial).withColumn("r", rank).where("r <= least(n_pred, n_pos - 1)").select(*each, "t")
     truth = true.join(levels, "video_id").select(*keys, "t", tol)
     base = n.join(n_gt, "video_id")
-    for name, rows in (("model_f1", found), ("random_f1", drawn)):
-        tp = matching.greedy_matches(matching.candidates(rows.select(*keys, "t", tol), truth, keys), keys)
-        base = base.join(tp, keys, "left").na.fill(0, ["tp"]).withColumn(name, 2 * F.col("tp") / (F.col("n_pred") + F.col("n_gt"))).drop("tp")
+    tp = matching.greedy_matches(matching.candidates(found.select(*keys, "t", tol), truth, keys), keys)
+    chance = matching.greedy_matches(matching.candidates(drawn.select(*each, "t", tol), truth.select("*", trial), each), each)
+    chance = chance.groupBy(*keys).agg((F.sum("tp") / BASELINES).alias("tp"))
+    for name, hits in (("model_f1", tp), ("random_f1", chance)):
+        base = base.join(hits, keys, "left").na.fill(0, ["tp"]).withColumn(name, 2 * F.col("tp") / (F.col("n_pred") + F.col("n_gt"))).drop("tp")
     means = base.groupBy("merges").agg(F.avg("model_f1").alias("model_f1"), F.avg("random_f1").alias("random_f1"))
     return hierarchy.best_level(means).select("merges", *_r("model_f1", "random_f1", "gain"))
 
