@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import boxed, coded_words, id_text, slices
 from strandline.llm.ngram import Gathered, _load, _merge, _save, _squeeze, _unsqueeze
-from strandline.scratch import drop, mark, materialise, new_path
+from strandline.scratch import drop, materialise, new_path
 from strandline.llm.substring_dedup import Rolling, _mix, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
@@ -343,12 +343,10 @@ def _renamed(edges: DataFrame, step: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, kept of (doc_id, text), one row per row; ``class_id`` is the smallest id of the class."""
-    before = mark()
     survey = materialise(_survey(docs), "survey")
-    blocks = mark() - before
     idf = docs.sparkSession.sparkContext.broadcast(_frequencies(survey))
     rows = materialise(survey.where("shard is null").select("doc_id", "k1", "k2"), "rows")
-    drop(blocks)
+    drop(survey)
     nodes = materialise(rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
     reps = nodes.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("node").alias("doc_id"), "k.k1", "k.k2")
     signed = materialise(_signatures(docs.where("doc_id is not null"), idf), "signed")
