@@ -3,14 +3,17 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a frame that is to be written and read again before the next stage is
 called.  A stage deletes the scratch tables of the stage before it, whose result
-is on disk by then; the last stage's scratch tables stay until the process ends.
+is on disk by then; ``scratch.release`` deletes what is behind the last result.
 
 All stages but the last return the columns of ``documents``.  Null texts are
-empty texts, null ids are never dropped as copies, empty tables pass through.
+empty texts; of rows with a null id, exact dedup leaves one of each text that no
+other row has, and near and substring dedup leave all; rows that repeat an id are
+told apart; empty tables pass through.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import public_tokenizers
@@ -26,19 +29,27 @@ from strandline.llm.quality_model import keep_good
 from strandline.llm.substring_dedup import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: set[str] = set()
 
 
-def _tidy(stage: Stage) -> Stage:
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _left
-        scratch.drop(_left)
-        before = scratch.mark()
-        out = stage(spark, docs, sf_dir)
-        _left = scratch.mark() - before if stage is not pack else set()
-        return out
+class Tidy:
+    """Deletes what a stage left when the next stage of the same pipeline begins, that is, of the same thread, session and folder."""
+
+    def __init__(self):
+        self.left: dict[tuple[int, str, str], scratch.Owner] = {}
+
+    def __call__(self, stage: Stage) -> Stage:
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            key = (threading.get_ident(), spark.sparkContext.applicationId, sf_dir)
+            if key in self.left:
+                self.left.pop(key).drop()
+            with scratch.Owner(spark) as made:
+                out = stage(spark, docs, sf_dir)
+            out.scratch_owner = made
+            if stage is not pack:  # nothing follows it that could delete
+                self.left[key] = made
+            return out
 
-    return run_stage
+        return run_stage
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,19 +80,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [(f.__name__, _tidy(f)) for f in (classify, exact, near, substring, pack)]
-#: The classifier's and the packer's results are beyond SQL; the stages are tested against brute force.
+tidy = Tidy()
+STAGES: list[tuple[str, Stage]] = [(f.__name__, tidy(f)) for f in (classify, exact, near, substring, pack)]
+#: The classifier's and the packer's results are beyond SQL; ``tests/llm`` holds each operator against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result stored before the next stage reads it."""
-    docs, stored = table(spark, sf_dir, "documents"), set()
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            before = scratch.mark()
-            docs = scratch.materialise(docs, name)
-            scratch.drop(stored)
-            stored = scratch.mark() - before
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, scratch.materialise(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "scratch_path"):
+            scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
