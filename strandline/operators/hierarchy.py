@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.operators.sequences import run_length_encode
-from strandline.scratch import drop, mark, materialise
+from strandline.scratch import drop, materialise
 
 _ITEM = "array<struct<s:int,st:int>>"
 
@@ -87,7 +87,6 @@ def merge_hierarchy(tokens: DataFrame, levels: list[int]) -> Hierarchy:
     """
     streams = materialise(run_streams(tokens), "streams")
     symbol = streams.agg(F.max(F.expr("array_max(transform(sy, x -> x.s))")).alias("m")).first()["m"]
-    last: set[str] = set()
     merges, kept = [], [boundaries_of(streams, 0)] if 0 in levels else []
     for step in range(1, max(levels) + 1):
         pair = best_pair(streams)
@@ -95,11 +94,9 @@ def merge_hierarchy(tokens: DataFrame, levels: list[int]) -> Hierarchy:
             break
         a, b, n = pair
         symbol += 1
-        before = mark()
-        streams = materialise(rewrite(streams, a, b, symbol), "streams")
-        if step - 1 not in levels and step > 1:
+        last, streams = streams, materialise(rewrite(streams, a, b, symbol), "streams")
+        if step - 1 not in levels:
             drop(last)
-        last = mark() - before
         merges.append((step, a, b, symbol, n))
         if step in levels:
             kept.append(boundaries_of(streams, step))
