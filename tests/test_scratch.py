@@ -6,10 +6,9 @@ from strandline import scratch
 
 
 @pytest.fixture
-def folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    yield tmp_path
-    spark.conf.unset("spark.checkpoint.dir")
+def folder(tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "root", lambda _: f"file://{tmp_path}")
+    return tmp_path
 
 
 def test_release_empties_the_shared_folder(spark, folder):
