@@ -83,3 +83,16 @@ def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(doc_id, text, row): all columns kept in one struct, so that no working column can clash with them."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
+
+
+def hot_values(counts: DataFrame, key: str, n: str, total: int, share: int = 1000) -> list:
+    """Values of ``key`` with more than one in ``share`` of ``total`` rows (at least ``share`` rows): under ``share`` of them, whatever the input."""
+    return [r[0] for r in counts.where(F.col(n) > max(share, total // share)).select(key).distinct().collect()]
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], hot_many: F.Column, hot_few: F.Column, spread: F.Column, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few`` (one row a key); where hot, ``many`` is dealt by ``spread`` too, and ``few`` repeated as often as the session shuffles into."""
+    width = shuffle_width(many.sparkSession)
+    salt = F.when(hot_many, F.pmod(spread, F.lit(width)).cast("int")).otherwise(F.lit(0))
+    every = F.when(hot_few, F.sequence(F.lit(0), F.lit(width - 1))).otherwise(F.array(F.lit(0)))
+    return many.withColumn("salt", salt).join(few.withColumn("salt", F.explode(every)), [*keys, "salt"], how).drop("salt")

@@ -40,9 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import boxed, coded_words, id_text, slices
+from strandline.llm.hashing import Rolling, mix, word_hashes
 from strandline.llm.ngram import Gathered, _load, _merge, _save, _squeeze, _unsqueeze
 from strandline.scratch import drop, materialise, new_path
-from strandline.llm.substring_dedup import Rolling, _mix, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 4
@@ -210,7 +210,7 @@ def samples(bounds: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int)
             least = np.minimum.reduceat(a, starts)
             hit = np.flatnonzero(a == np.repeat(least, size))
             at = hit[np.searchsorted(hit, starts)]
-            out[first:last, k] = _mix(h[at] ^ t[at].astype(np.int64).view(np.uint64) * np.uint64(0xA0761D6478BD642F))
+            out[first:last, k] = mix(h[at] ^ t[at].astype(np.int64).view(np.uint64) * np.uint64(0xA0761D6478BD642F))
         first = last
     return out
 
@@ -228,7 +228,7 @@ def _signatures(docs: DataFrame, known: Broadcast) -> DataFrame:
                 s = samples(np.append(bounds[:-1][full], bounds[-1]), hashes, idf.weights(hashes, counts), BANDS * ROWS).reshape(len(full), BANDS, ROWS)
                 mixed = np.zeros((len(full), BANDS), np.uint64)
                 for k in range(ROWS):
-                    mixed = _mix(mixed * np.uint64(0xE7037ED1A0B428DB) + s[:, :, k])
+                    mixed = mix(mixed * np.uint64(0xE7037ED1A0B428DB) + s[:, :, k])
                 columns = [pa.array(np.ascontiguousarray(keys[full, k]).view(np.int64)) for k in (0, 1)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS), pa.array(mixed.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), *columns, bands], names)

@@ -84,11 +84,60 @@ def test_substring_removes_from_texts_and_keeps_columns(make_docs, hard_pairs):
 def test_paths_cover_every_window_once():
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 5, 49, 50, 51, 300)]
-    row, start, n, edge, content, count = substring_dedup.paths_of(pa.array(texts), 50, 16)
+    row, start, n, edge, content, count = substring_dedup.super_edges_of(pa.array(texts), 50, 16)
     seen = Counter((r, s + k) for r, s, m in zip(row, start, n, strict=True) for k in range(m))
     assert seen == Counter((r, k) for r, c in enumerate(count) for k in range(max(0, c - 49)))
 
 
+def test_substring_tells_rows_of_one_id_apart(make_docs):
+    """Shorter, longer and unrelated texts under one id: no crash, and unique text stays."""
+    long, unique = [f"v{k}" for k in range(300)], [f"u{k}" for k in range(300)]
+    pairs = [(1, " ".join(long)), (2, "p q " * 40 + " ".join(long)), (2, "short text"), (2, " ".join(long)), (2, " ".join(unique)), (2, " ".join(unique)), (3, " ".join(unique[:80]))]
+    docs = make_docs(pairs)
+    rows = substring_dedup.removal_digest(docs).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows) == removal(pairs, 50)
+    texts = sorted((r.text or "") for r in substring_dedup.remove_repeats(docs).collect())
+    assert texts.count(" ".join(unique)) == 2 and "short text" in texts and texts.count("") == 2
+
+
+def test_a_repeated_passage_compacts_to_one_path(spark, make_docs, monkeypatch):
+    """A passage of 400 words in three documents is many super-edges, one chain, and one run for each copy."""
+    rng = random.Random(3)
+    passage = words(rng, 400)
+    pairs = [(k, " ".join([*words(rng, 70), *passage, *words(rng, 70)])) for k in range(3)]
+    seen = []
+    compact = substring_dedup.compact_paths
+    monkeypatch.setattr(substring_dedup, "compact_paths", lambda told: seen.append(compact(told)) or seen[-1])
+    rows = substring_dedup.materialise(substring_dedup.id_text(make_docs(pairs)).withColumn("row", substring_dedup.F.monotonically_increasing_id()), "rows")
+    runs = substring_dedup.repeated_runs(rows, 50, 16).collect()
+    assert len(runs) == 2 and {r.n for r in runs} == {351} and len({(r.source, r.source_start) for r in runs}) == 1
+    chain = seen[0].collect()
+    assert len(chain) > 5 and len({r.root for r in chain}) == 1
+    assert sorted(r.dist + r.own for r in chain)[:-1] == sorted(r.dist for r in chain)[1:]
+
+
+def test_spans_that_differ_at_their_coordinates_are_an_error(spark, make_docs):
+    rows = substring_dedup.materialise(substring_dedup.id_text(make_docs([(1, "a " * 60), (2, "b " * 60)])).withColumn("row", substring_dedup.F.monotonically_increasing_id()), "rows")
+    one, two = (r.row for r in rows.orderBy("doc_id").collect())
+    runs = lambda of: spark.createDataFrame([(two, 0, 3, of, 0)], "row long, start int, n int, source long, source_start int")
+    with pytest.raises(RuntimeError):
+        substring_dedup.verify(rows, runs(one), 50)
+
+
+def words(rng, n):
+    return [f"z{rng.randrange(100_000)}" for _ in range(n)]
+
+
+def test_substring_hot_keys_are_salted(make_docs, monkeypatch):
+    """One passage in most documents, each time between other words, with every repeated key taken for hot."""
+    monkeypatch.setattr(substring_dedup, "hot_values", lambda counts, key, *_: [r[0] for r in counts.select(key).collect()])
+    rng = random.Random(4)
+    passage = words(rng, 70)
+    pairs = [(k, " ".join([*words(rng, 30), *(passage if k % 4 else []), *words(rng, 30)])) for k in range(60)]
+    rows = substring_dedup.removal_digest(make_docs(pairs)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows) == removal(pairs, 50)
+
+
 def plain_classes(pairs, idf):
     ids = sorted({i for i, _ in pairs if i is not None})
     texts = {}
