@@ -1,10 +1,13 @@
 """Exact dedup by a tree-merge of sorted digest runs; DataFrame operations only.
 
-Each input partition forms one sorted run of (digest, smallest id, count): the
-partial aggregate of the first exchange.  In every round ``fan_in`` neighbouring
-runs (``log2(fan_in)`` binomial rounds at once) are merged, each digest keeping
-its smallest identifier, until one run is left.  A run is dealt by (run, digest),
-so that no task ever holds a whole run.  The way back down the tree hands each
+Each input partition forms one sorted run of (digest, smallest id, count).  In
+every round ``fan_in`` neighbouring runs (``log2(fan_in)`` binomial rounds at once)
+are merged, each digest keeping its smallest identifier, until one run is left.
+The smallest identifier is a struct, which Spark aggregates over sorted rows: a
+run is sorted before it is sent, the receiver merges what comes in already sorted
+pieces (its sort finds ascending pieces and merges them), and equal digests then
+stand side by side.  A run is dealt by (run, digest), so that no task ever holds a
+whole run.  The way back down the tree hands each
 level the verdict of the level above; the last join is by (run, digest), so that
 a text which makes up a third of all rows is spread over as many keys as the
 input has partitions.
@@ -44,13 +47,14 @@ def digest_columns(docs: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialise(digest_columns(id_text(docs, id_col, text_col)).withColumn("run", F.spark_partition_id()), "digests")
 
     def merge(runs: DataFrame, run, count) -> DataFrame:
-        merged = runs.groupBy(run.alias("run"), *_KEY).agg(F.min("doc_id").alias("doc_id"), count.alias("n"))
-        return materialise(merged.sortWithinPartitions("run", "digest"), "runs")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
+        merged = runs.groupBy(run.alias("run"), *_KEY).agg(least, count.alias("n"))
+        return materialise(merged.select("run", *_KEY, F.col("least.doc_id").alias("doc_id"), "n"), "runs")
 
     levels = [merge(rows, F.col("run"), F.count(F.lit(1)))]
     top = rows.agg(F.max("run").alias("m")).first()["m"] or 0
