@@ -8,8 +8,9 @@ a multiset of lengths with a count, so the work does not grow with the corpus.
 Pieces then take their places by their rank within their length: the r-th piece
 of a length has one slot of one instance of one pattern.
 
-Ranks are dealt by (length, salt), so a length that a third of all pieces share
-is counted by as many tasks as the session shuffles into.
+Ranks are dealt by (length, salt), the salt from a number that each stored piece
+has of its own, so a length that a third of all pieces share is counted by as many
+tasks as the session shuffles into, also if those pieces are copies of one row.
 
 Defined cases: null and empty text are the closing id alone; a null id stays
 null; repeated rows are packed as often as they occur; an empty table gives no
@@ -212,26 +213,25 @@ def slot_table(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, n
     return dict(zip(("length", "lo", "times", "first", "offset"), table.T, strict=True))
 
 
-def ranked(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """``pieces`` with ``rank``, counted from 0 within each length over all tasks."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(shuffle_width(pieces.sparkSession))).cast("int"))
+def ranked(pieces: DataFrame, number: str) -> DataFrame:
+    """``pieces`` with ``rank``, counted from 0 within each length over all tasks; ``number`` differs on every row, also on rows that repeat."""
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(number), F.lit(shuffle_width(pieces.sparkSession))).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    own = F.row_number().over(W.partitionBy("length", "salt").orderBy(*keys)) - 1
+    own = F.row_number().over(W.partitionBy("length", "salt").orderBy(number)) - 1
     return salted.join(base, ["length", "salt"]).withColumn("rank", F.col("base") + own).drop("salt", "base")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (doc_id, start, length, ids_crc32, ...).
-
-    ``pieces`` is read three times; pass a stored table.
-    """
+    """Add ``sequence_id`` and ``offset`` to pieces (doc_id, start, length, ids_crc32, ...)."""
+    names = pieces.columns
+    pieces = materialise(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     slots = slot_table(pack_histogram(counts, capacity))
     shift = 1 << 42
     starts = slots["length"] * shift + slots["lo"]
     shared = pieces.sparkSession.sparkContext.broadcast((starts, slots))  # at most capacity patterns times 90 lengths
-    ordered = ranked(pieces, ["doc_id", "start", "ids_crc32"]).select(*pieces.columns, "rank")
+    ordered = ranked(pieces, "piece").select(*names, "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, slots = shared.value
@@ -244,10 +244,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             where = [pa.array(slots["first"][row] + at // times, pa.int64()), pa.array(slots["offset"][row] + length * (at % times), pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *where], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "piece")
     return ordered.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Tokenise, cut, store and pack all documents."""
-    return pack(materialise(token_pieces(docs, path, capacity, end, with_ids), "pieces"), capacity)
+    return pack(token_pieces(docs, path, capacity, end, with_ids), capacity)
