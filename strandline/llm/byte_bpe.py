@@ -32,7 +32,7 @@ from strandline.llm.common import id_text, slices
 #: Ranges in which the pattern engine and the library classify every character alike.
 _AGREED = regex.compile(r"[\u0000-՗Ḁ-⁯₠-₿℀-⏿─-➿　-鿿가-힣＀-￯\U0001F300-\U0001FAFF]*+")
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CACHE = 300_000
+_CACHE, _LONG = 300_000, 64  # cached entries, and the longest of them in characters
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -138,10 +138,10 @@ class ByteBPE:
         words = self.pretokens(text)
         if len(self.words) > _CACHE:
             self.words.clear()
-        known = self.words
+        known, long = self.words, {}
         for w in set(words).difference(known):
-            known[w] = self.word(w)
-        return list(chain.from_iterable([known[w] for w in words]))
+            (known if len(w) <= _LONG else long)[w] = self.word(w)
+        return list(chain.from_iterable([known[w] for w in words] if not long else [long[w] if w in long else known[w] for w in words]))
 
     def decode(self, ids: list[int]) -> str:
         token = self.token
