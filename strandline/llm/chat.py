@@ -200,8 +200,8 @@ def _boundaries(chunks: DataFrame) -> DataFrame:
         levels.append(grouped(nodes, part, local.cast("long")))
         nodes = materialise(levels[-1].groupBy("key", "up_part", "up_local").applyInPandas(combine, "key string, part int, local long, matrix array<bigint>"), "nodes")
         p, n = (p, n // FAN_IN) if n else (p // FAN_IN, 0)
-    last = F.udf(lambda m: exit_of(square(m)[START]), "int")
-    down = nodes.select("key", "part", "local", F.lit(START).alias("entry"), last("matrix").alias("leave"))
+    closing = F.array(*[F.element_at("matrix", s + 1) + INSERT * len(ending(s)) for s in range(4)])  # as exit_of
+    down = nodes.select("key", "part", "local", F.lit(START).alias("entry"), (F.array_position(closing, F.array_min(closing)) - 1).cast("int").alias("leave"))
     for level in reversed(levels):
         above = down.select("key", F.col("part").alias("up_part"), F.col("local").alias("up_local"), "entry", "leave")
         keys = ["key", "up_part", "up_local"]
