@@ -35,6 +35,15 @@ def test_exact_drop_keeps_columns_and_one_row_a_group(make_docs, hard_pairs):
     assert len(texts) == len(set(texts)) == len({squeezed(t) for _, t in hard_pairs})
 
 
+def test_runs_are_merged_in_order(make_docs, monkeypatch):
+    """Digests are aggregated over sorted rows on both sides of every exchange, never by hashing."""
+    plans = []
+    stored = exact_dedup.materialise
+    monkeypatch.setattr(exact_dedup, "materialise", lambda df, name, *k: (name == "runs" and plans.append(df._jdf.queryExecution().sparkPlan().toString()), stored(df, name, *k))[1])
+    exact_dedup.exact_dedup(make_docs([(k, f"t{k % 9}") for k in range(60)], 20)).collect()
+    assert len(plans) > 2 and all("SortAggregate" in p and "HashAggregate" not in p for p in plans)
+
+
 @pytest.mark.parametrize("operator", [exact_dedup.exact_dedup, substring_dedup.removal_digest, near_dedup.near_duplicates])
 def test_empty_table(make_docs, operator):
     assert operator(make_docs([])).count() == 0

@@ -154,4 +154,18 @@ def test_slots_follow_ranks(spark):
     assert len(rows) == 500
     taken = [(r.sequence_id, r.offset + k) for r in rows for k in range(r.length)]
     assert len(taken) == len(set(taken))
-    assert packing.ranked(pieces, ["doc_id"]).groupBy("length").agg((F.max("rank") + 1 == F.count("*")).alias("ok"), (F.countDistinct("rank") == F.count("*")).alias("d")).where("ok and d").count() == 2
+    assert packing.ranked(pieces, "doc_id").groupBy("length").agg((F.max("rank") + 1 == F.count("*")).alias("ok"), (F.countDistinct("rank") == F.count("*")).alias("d")).where("ok and d").count() == 2
+
+
+def test_rows_that_repeat_are_ranked_by_many_tasks(spark, make_docs):
+    pieces = packing.materialise(packing.token_pieces(make_docs([(None, "one text")] * 4000, 2), WORD).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    width = packing.shuffle_width(spark)
+    salts = pieces.groupBy(F.pmod(F.xxhash64("piece"), F.lit(width))).count().collect()
+    assert len(salts) == width and max(r["count"] for r in salts) < 2 * 4000 / width
+    assert packing.ranked(pieces, "piece").select("rank").distinct().count() == 4000
+
+
+def test_long_pretokens_are_not_kept():
+    bpe = byte_bpe.ByteBPE(BYTE)
+    bpe.encode("short " + "x" * 1000)
+    assert all(len(w) <= 64 for w in bpe.words) and "short" in bpe.words

@@ -74,3 +74,25 @@ def test_monolithic_archives_are_one_stream(spark, pages, tmp_path):
 
 def test_empty_table(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_records_are_valid_and_their_ids_unique(spark, tmp_path):
+    rows = [(1, "u", "same", "a", 1, "r")] * 3 + [(2, "v", "other " * 900_000, "a", 1, "r"), (None, "w", "same", "a", 1, "r")]
+    manifest, _ = warc.archive_pages(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/out")
+    heads = []
+    for f in Path(tmp_path, "out").glob("*.warc.gz"):
+        data, at = gzip.decompress(f.read_bytes()), 0
+        while at < len(data):
+            head, payload, at = warc.parse(data, at)
+            heads.append(head)
+            assert int(head["Content-Length"]) == len(payload)
+    ids = {h["WARC-Record-ID"]: h["WARC-Type"] for h in heads}
+    assert len(ids) == len(rows) and all({"WARC-Date", "WARC-Target-URI", "WARC-Type"} <= set(h) for h in heads)
+    assert all(ids[h["WARC-Refers-To"]] == "response" for h in heads if h["WARC-Type"] == "revisit")
+
+
+def test_reading_goes_by_the_sidecar(spark, tmp_path):
+    manifest, folder = warc.archive_pages(spark.createDataFrame([(k, "u", f"page {k}", "a", 1, "r") for k in range(9)], SCHEMA).coalesce(1), f"file://{tmp_path}/out")
+    for side in Path(tmp_path, "out").glob("*.index.jsonl"):
+        side.write_text("".join(side.read_text().splitlines(keepends=True)[::2]))
+    assert sorted(r.page_id for r in warc.read_archives(manifest, folder).collect()) == [0, 2, 4, 6, 8]
