@@ -133,4 +133,122 @@ def test_fit_does_not_depend_on_partitioning(judged, make_docs):
 
 def test_views_of_no_text():
     text, meta = quality_model.features(pa.array([None, "e"], pa.string()), pa.array([None, "s"], pa.string()), pa.array(["", "a a b"]))
-    assert text[0].tolist() == [0, 0, 2] and len(meta[0]) == 3
+    assert text[0].tolist() == [0, 4, 10] and len(meta[0]) == 3 and np.isfinite(quality_model.layout(pa.array(["", "a\n\na"]), np.array([0, 2]))).all()
+
+
+def plain_views(lang, source, text):
+    """Both views of one document, from the definition."""
+    words, bins = text.encode().split(), lambda kind, edges, values: {f"{kind}{k}={sum(v > c for c in cuts)}" for k, (cuts, v) in enumerate(zip(edges, values, strict=True))}
+    share = lambda chars: sum(c in chars for c in text) / max(len(text), 1)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(len(words), 1)
+    dense = [share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("#*$%&|<>!"), share("0123456789"), again]
+    lines = text.split("\n")
+    full = [x for x in lines if x.strip(" \t\n\x0b\x0c\r")]
+    lay = [math.log1p(len(text)), math.log(len(lines)), math.log1p(len(text) / len(lines)), len(text) / max(len(words), 1), 1 - len(full) / len(lines), (len(full) - len(set(full))) / max(len(full), 1)]
+    own = {w.decode().lower().strip(".,;:!?|#$%&*()[]\"'<>") for w in words} | bins("density", quality_model.DENSITIES, dense)
+    return own, {f"lang={lang}", f"source={source}"} | bins("layout", quality_model.LAYOUT, lay)
+
+
+def plain_fit(rows, y):
+    pos, neg = 0.5 / max(sum(y), 1), 0.5 / max(len(y) - sum(y), 1)
+    keys = sorted(set().union(*rows))
+    w, g2, bias, b2 = dict.fromkeys(keys, 0.0), dict.fromkeys(keys, 1e-12), 0.0, 1e-12
+    for _ in range(120):
+        error = [(1 / (1 + math.exp(-(sum(w[f] for f in r) + bias))) - t) * (pos if t else neg) for r, t in zip(rows, y, strict=True)]
+        grad = {f: 1e-4 * w[f] for f in keys}
+        for r, e in zip(rows, error, strict=True):
+            for f in r:
+                grad[f] += e
+        for f, g in grad.items():
+            g2[f] += g * g
+            w[f] -= 0.3 * g / math.sqrt(g2[f])
+        b2 += sum(error) ** 2
+        bias -= 0.3 * sum(error) / math.sqrt(b2)
+    return lambda r: round(sum(w.get(f, 0.0) for f in r) + bias, 9)
+
+
+def plain_telling(rows, y):
+    yes, no = Counter(f for r, t in zip(rows, y, strict=True) if t for f in r), Counter(f for r, t in zip(rows, y, strict=True) if not t for f in r)
+    ratio = {f: math.log((yes[f] + 0.5) / (sum(y) + 1)) - math.log((no[f] + 0.5) / (len(y) - sum(y) + 1)) for f in yes | no}
+    keep = {f for f, r in ratio.items() if abs(r) - 2.5 * math.sqrt(1 / (yes[f] + 0.5) + 1 / (no[f] + 0.5)) >= quality_model.TELLING}
+    return plain_fit([r & keep for r in rows], y)
+
+
+def plain_auc(scores, y):
+    pairs = [(a > b) + 0.5 * (a == b) for a, t in zip(scores, y, strict=True) if t for b, u in zip(scores, y, strict=True) if not u]
+    return sum(pairs) / len(pairs) if pairs else 0.5
+
+
+def plain_co_train(views, y, labelled, pool):
+    check, fit = labelled[3::4], [i for k, i in enumerate(labelled) if k % 4 != 3]
+    fit, told = sorted(fit), [{}, {}]
+    for turn in range(quality_model.ROUNDS + 1):
+        models = []
+        for k, learn in enumerate((plain_telling, plain_fit)):
+            rows = fit + sorted(told[k])
+            models.append(learn([views[i][k] for i in rows], [y[i] if i in y else told[k][i] for i in rows]))
+        if turn == quality_model.ROUNDS:
+            break
+        for k, m in enumerate(models):
+            free, share = [i for i in pool if i not in told[1 - k]], max(sum(y[i] for i in fit) / len(fit), 1e-3)
+            least = max(2, len(check) / 50)
+
+            def cut(sign, wanted, m=m, k=k, least=least):
+                held, best = sorted((sign * m(views[i][k]), y[i] == wanted) for i in check), -math.inf
+                for value in {v for v, _ in held}:
+                    below = [h for v, h in held if v <= value]
+                    if len(below) >= least and sum(below) >= quality_model.SURE * len(below):
+                        best = max(best, value)
+                return best
+
+            low, high, most = cut(1, False), -cut(-1, True), int(quality_model.CONFIDENT * len(pool))
+            order = sorted(free, key=lambda i, m=m, k=k: m(views[i][k]))
+            told[1 - k] |= {i: True for i in order[::-1][: int(most * share) + 1] if m(views[i][k]) >= high}
+            told[1 - k] |= {i: False for i in order[: int(most * (1 - share)) + 1] if m(views[i][k]) <= low}
+    odds, gains = [], []
+    for k, m in enumerate(models):
+        at = np.array([m(views[i][k]) for i in check])
+        slope, offset = quality_model.calibrate(at, np.array([y[i] for i in check]))
+        odds.append(lambda r, m=m, slope=slope, offset=offset: slope * m(r) + offset)
+        n = sum(y[i] for i in check)
+        gains.append(max(0, plain_auc(at.tolist(), [y[i] for i in check]) - 0.5 - 1 / math.sqrt(12 * max(1, min(n, len(check) - n)))) ** 2)
+    shares = [g / max(gains) for g in gains] if max(gains) else [1.0, 1.0]
+    return (lambda v: 1 / (1 + math.exp(-sum(s * o(x) for s, o, x in zip(shares, odds, v, strict=True))))), told
+
+
+def test_against_a_plain_refit(spark, make_docs):
+    """Every document's scores as a straight reading of the method gives them, dictionaries and sums alone."""
+    docs, labels = corpus(160, 9)
+    docs += [(900, None), (901, ""), (902, "vile " * 40), (903, "Ä ö\n\nÄ ö")]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality_model.classify(make_docs(docs), frame).collect()}
+    views = {i: plain_views("en", "s", t or "") for i, t in docs}
+    order = [r.i for r in spark.createDataFrame([(i,) for i, _ in docs], "i long").orderBy(quality_model.F.xxhash64(quality_model.F.col("i").cast("string"), quality_model.F.lit(quality_model.SAMPLE_SEED))).collect()]
+    rank = {i: k for k, i in enumerate(order)}
+    ranked = {rank[i]: v for i, v in views.items()}
+    for place, target in ((1, "quality_score"), (2, "toxic_score")):
+        y = {rank[x[0]]: bool(x[place]) for x in labels}
+        kept = [rank[i] for i in (order[k] for k in quality_model.distinct_rows(quality_model.features(*[pa.array([c] * len(order)) for c in ("en", "s")], pa.array([dict(docs)[i] or "" for i in order]))[0]))]
+        probability, told = plain_co_train(ranked, y, [k for k in kept if k in y], [k for k in kept if k not in y])
+        assert all(told) or target == "toxic_score"
+        for i, v in views.items():
+            assert getattr(rows[i], target) == pytest.approx(probability(v), abs=1e-6)
+
+
+def test_labels_pass_both_ways_and_help():
+    """Two views that each know half: each marks rows for the other, and together they know more than either."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    y = rng.random(n) < 0.4
+    bit = lambda p: np.where(rng.random(n) < p, y, rng.random(n) < 0.5)
+    view = lambda m, shift: (np.arange(n + 1) * m, (np.stack([2 * j + bit(0.45) for j in range(m)], 1) + shift).reshape(-1).astype(np.int64), np.ones(n * m))
+    _, report = quality_model.co_train(view(6, 0), view(6, 100), y, np.arange(800), np.arange(800, n))
+    assert report["told_text"] > 50 and report["told_meta"] > 50
+    assert report["auc_both"] > max(report["auc_text"], report["auc_meta"]) > 0.7
+
+
+def test_long_documents_train_too(spark, make_docs):
+    long = [(k, " ".join([f"q{j}" for j in range(k, 30_000 + k)] + (["vile"] if k % 2 else []))) for k in range(24)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(24)], "doc_id long, quality int, toxic int")
+    table = quality_model.sample(make_docs(long), labels)
+    assert table.num_rows == 24 and max(len(x) for x in table.column("words").to_pylist()) == quality_model.FIT_WORDS
