@@ -17,7 +17,8 @@ class EliasFano:
 
     def __init__(self, low: np.ndarray, bits: np.ndarray, zeros: np.ndarray, n: int):
         self.low, self.bits, self.zeros, self.n = low, bits, zeros, n
-        self.shift = _U(8 * len(low))
+        self.shift, self.mask = _U(8 * len(low)), _U((1 << 8 * len(low)) - 1)
+        self._ones: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -29,7 +30,7 @@ class EliasFano:
         low = np.empty((planes, n), np.uint8)
         for k in range(planes):
             low[k] = (values >> _U(8 * k)).astype(np.uint8)
-        high = (values >> _U(8 * planes)).astype(np.int64)
+        high = (values >> _U(8 * planes)).astype(np.int64) if planes < 8 else np.zeros(n, np.int64)
         size = n + (universe >> (8 * planes)) + 1
         flags = np.zeros(-(-size // 64) * 64, np.uint8)
         flags[high + np.arange(n)] = 1
@@ -37,20 +38,31 @@ class EliasFano:
         count = 64 - np.bitwise_count(bits).astype(np.int64)
         return cls(low, bits, (np.cumsum(count) - count).astype(np.uint32), n)
 
-    def select_zero(self, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th zero, counted from 0."""
-        word = np.searchsorted(self.zeros, k.astype(np.uint32), "right") - 1
-        rest = k - self.zeros[word]
-        bits, at = ~self.bits[word], np.zeros(len(k), np.uint64)
+    @staticmethod
+    def _select(bits: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th set bit of ``bits``, of which ``before`` stand before each word."""
+        word = np.searchsorted(before, k, "right") - 1
+        rest = k - before[word].astype(np.int64)
+        left, at = bits[word], np.zeros(len(k), np.uint64)
         for width in (32, 16, 8, 4, 2, 1):
-            inside = np.bitwise_count(bits & _U((1 << width) - 1)).astype(np.int64)
+            inside = np.bitwise_count(left & _U((1 << width) - 1)).astype(np.int64)
             skip = rest >= inside
             rest = rest - np.where(skip, inside, 0)
             step = np.where(skip, _U(width), _U(0))
-            bits = bits >> step
+            left = left >> step
             at += step
         return word * 64 + at.astype(np.int64)
 
+    def select_zero(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th zero, counted from 0."""
+        return self._select(_Not(self.bits), self.zeros, k)
+
+    def select_one(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th one, counted from 0."""
+        if self._ones is None:
+            self._ones = np.arange(len(self.zeros)) * 64 - self.zeros.astype(np.int64)
+        return self._select(self.bits, self._ones, k)
+
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first index, and the end, of values with each high part."""
         before = np.maximum(high - 1, 0)
@@ -63,10 +75,12 @@ class EliasFano:
             out |= self.low[k][index].astype(np.uint64) << _U(8 * k)
         return out
 
-    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first value not below each, whether it is equal)."""
-        start, stop = self.bucket((values >> self.shift).astype(np.int64))
-        want = values & ((_U(1) << self.shift) - _U(1))
+    def successor(self, values: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first value not below each, whether it is equal), among the values from index ``first`` to before ``end``, if given."""
+        start, stop = self.bucket((values >> self.shift).astype(np.int64) if len(self.low) < 8 else np.zeros(len(values), np.int64))
+        if first is not None:
+            start, stop = np.minimum(np.maximum(start, first), end), np.maximum(np.minimum(stop, end), first)
+        want = values & self.mask
         lo, hi = start.copy(), stop.copy()
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
@@ -79,6 +93,18 @@ class EliasFano:
         return lo, found
 
     def access(self, index: np.ndarray) -> np.ndarray:
-        """The values at ``index``; decodes the high parts, for tests and small shards."""
-        high = np.flatnonzero(np.unpackbits(np.asarray(self.bits).view(np.uint8), bitorder="little"))[: self.n] - np.arange(self.n)
-        return (high[index].astype(np.uint64) << self.shift) | self._low(index)
+        """The values at ``index``."""
+        if not len(index):
+            return np.zeros(0, np.uint64)
+        high = (self.select_one(np.asarray(index, np.int64)) - index).astype(np.uint64)
+        return (high << self.shift if len(self.low) < 8 else np.uint64(0)) | self._low(index)
+
+
+class _Not:
+    """The complement of a bit vector, word by word."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return ~self.bits[at]

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import boxed, coded_words, id_text, slices
 from strandline.llm.hashing import Rolling, mix, word_hashes
-from strandline.llm.ngram import Gathered, _load, _merge, _save, _squeeze, _unsqueeze
+from strandline.llm.shards import Gathered, load, merge, save, squeeze, unsqueeze
 from strandline.scratch import drop, materialise, new_path
 
 WORDS, SIMILAR = 5, 0.8
@@ -94,7 +94,7 @@ class Frequencies:
         cut = _cut(ranked, self.bits)
         for k in np.flatnonzero(np.diff(cut)):
             if self.sizes[k]:
-                keys, counts = (_load(self.folder, f"df-{k}", x) for x in ("key", "count"))
+                keys, counts = (load(self.folder, f"df-{k}", x) for x in ("key", "count"))
                 wanted = ranked[cut[k] : cut[k + 1]]
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == wanted)
@@ -126,7 +126,7 @@ def _survey(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys, counts = held.take()
             cut = _cut(keys, bits)
-            rows = [(k, bits, int(keys[a : a + 1].view(np.int64)[0]), _squeeze(np.diff(keys[a:b], prepend=keys[a])), _squeeze(counts[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+            rows = [(k, bits, int(keys[a : a + 1].view(np.int64)[0]), squeeze(np.diff(keys[a:b], prepend=keys[a])), squeeze(counts[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.nulls(len(rows), kind), *(pa.nulls(len(rows), pa.int64()) for _ in range(2)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
@@ -137,7 +137,7 @@ def _survey(docs: DataFrame) -> DataFrame:
                 _, hashes, _, keys = shingles(part.column("text"))
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in (0, 1)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
-                if held.add(*_merge([hashes], [np.ones(len(hashes), np.int64)])):
+                if held.add(*merge([hashes], [np.ones(len(hashes), np.int64)])):
                     yield out()
         if kind is not None:
             yield out()
@@ -149,17 +149,17 @@ def _frequencies(survey: DataFrame) -> Frequencies:
     """Merge the tasks' blocks shard by shard; the driver gets a row a shard."""
     folder = new_path(survey.sparkSession, "frequencies")
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
         k = int(frame["shard"].iloc[0])
         firsts = frame["first"].to_numpy(np.int64).view(np.uint64)
-        keys, counts = _merge([np.cumsum(_unsqueeze(b, np.uint64), dtype=np.uint64) + f for f, b in zip(firsts, frame["keys"], strict=True)], [_unsqueeze(b, np.int64) for b in frame["counts"]])
+        keys, counts = merge([np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64) + f for f, b in zip(firsts, frame["keys"], strict=True)], [unsqueeze(b, np.int64) for b in frame["counts"]])
         often = counts > 1
         if often.any():
-            _save(folder, f"df-{k}", key=keys[often], count=counts[often])
+            save(folder, f"df-{k}", key=keys[often], count=counts[often])
         return pd.DataFrame({"shard": [k], "bits": [int(frame["bits"].iloc[0])], "n": [int(often.sum())]})
 
     blocks = survey.where("shard is not null").select("shard", "bits", "first", "keys", "counts")
-    rows = blocks.groupBy("shard").applyInPandas(merge, "shard int, bits int, n long").collect()  # a row a shard
+    rows = blocks.groupBy("shard").applyInPandas(joined, "shard int, bits int, n long").collect()  # a row a shard
     bits = rows[0]["bits"] if rows else 3
     sizes = [0] * (1 << bits)
     for r in rows:
