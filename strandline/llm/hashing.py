@@ -26,21 +26,21 @@ _BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in _BASES
 _LONG = 256
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """Two independent 64-bit hashes of each word, from its bytes; words over ``_LONG`` bytes are hashed one by one."""
+def word_hashes(words: pa.Array, families: int = 2) -> np.ndarray:
+    """Up to two independent 64-bit hashes of each word, from its bytes; words over ``_LONG`` bytes are hashed one by one."""
     flat = words.cast(pa.large_binary())
     bounds = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
     if not len(flat):
-        return np.zeros((2, 1), np.uint64)
+        return np.zeros((families, 1), np.uint64)
     data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
     start, stop = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
-    out = np.empty((2, len(flat)), np.uint64)
-    for k, base in enumerate(_BASES):
+    out = np.empty((families, len(flat)), np.uint64)
+    for k, base in enumerate(_BASES[:families]):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[k][data] * _powers(base, len(data)), dtype=np.uint64)])
         value = (sums[stop] - sums[start]) * _powers(pow(base, -1, 1 << 64), len(data) + 1)[start]
         out[k] = mix(value ^ (stop - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     for i in np.flatnonzero(stop - start > _LONG):
-        out[:, i] = np.frombuffer(xxhash.xxh3_128_digest(flat[int(i)].as_py()), np.uint64)
+        out[:, i] = np.frombuffer(xxhash.xxh3_128_digest(flat[int(i)].as_py()), np.uint64)[:families]
     return out
 
 

@@ -37,21 +37,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import coded_words, id_text, slices
 from strandline.llm.elias_fano import EliasFano
-from strandline.llm.shards import Gathered, counted, load, merge, remove, save, squeeze, unsqueeze
+from strandline.llm.hashing import word_hashes
+from strandline.llm.shards import Gathered, load, remove, save, squeeze, unsqueeze
 from strandline.scratch import drop, materialise, new_path
 
 ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 20, 3_000_000
-_SLICE = 4_000_000
+_SLICE = 8_000_000
 _STEP = 4096.0  # 16-bit codes are multiples of 1/4096 in -log10
-END_HASH = xxhash.xxh3_64_intdigest(b"")
+END_HASH = 0  # of the empty word
 
 
 def fold(doc_id: F.Column) -> F.Column:
@@ -61,7 +61,7 @@ def fold(doc_id: F.Column) -> F.Column:
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bounds, codes, hashes): tokens of row i are ``hashes[codes[bounds[i]:bounds[i + 1]]]``, the last an end."""
     offsets, codes, words = coded_words(texts, lower=True)
-    hashes = np.array([*(xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), END_HASH], np.uint64)
+    hashes = np.append(word_hashes(words, 1)[0, : len(words)], np.uint64(END_HASH))
     bounds = offsets + np.arange(len(offsets))
     out = np.full(int(bounds[-1]), len(hashes) - 1, np.int64)
     out[np.arange(len(codes)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))] = codes
@@ -273,7 +273,7 @@ def build_vocabulary(training: DataFrame, folder: str) -> tuple[Vocabulary, np.n
     starts = {int(words.bases[k]) * words.size for k in range(1 << bits)}
     for r in rows:
         starts |= {(int(words.bases[r["shard"]]) + i) * words.size + int(s * words.size) for i, s in zip(r["at"], r["share"], strict=True)}
-    return words, np.array(sorted(starts), np.uint64)
+    return words, np.array(sorted(s for s in starts if s < words.size**2) or [0], np.uint64)
 
 
 def previous(ids: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
@@ -290,20 +290,20 @@ def deep_enough(bounds: np.ndarray, level: int) -> np.ndarray:
     return np.flatnonzero(at - np.repeat(bounds[:-1], np.diff(bounds)) >= level - 2)
 
 
-def distinct_ngrams(ids: np.ndarray, bounds: np.ndarray, end: int, level: int, v: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(first two words as one key, further words, counts) of the distinct n-grams, ascending."""
-    at = deep_enough(bounds, level)
-    back = [ids]
-    for _ in range(level - 1):
-        back.append(previous(back[-1], bounds, end))
-    first, code = np.unique((back[-1][at] * v + back[-2][at]).astype(np.uint64), return_inverse=True)
+def distinct_ngrams(ids: np.ndarray, bounds: np.ndarray, end: int, order: int, v: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(level, first two words as one key, further words, counts) of the distinct n-grams, ascending, level by level from 2 on."""
+    first, code, count = np.unique(previous(ids, bounds, end).astype(np.uint64) * np.uint64(v) + ids.astype(np.uint64), return_inverse=True, return_counts=True)
     columns: list[np.ndarray] = []
-    for word in reversed(back[:-2]):
-        key, code, count = np.unique(code * v + word[at], return_inverse=True, return_counts=True)
-        up = key // v
-        columns = [*(c[up] for c in columns), key % v]
-        first = first[up]
-    return first, columns, count
+    yield 2, first, columns, count
+    for level in range(3, order + 1):
+        at = deep_enough(bounds, level)
+        found = np.unique(code[at - 1] * v + ids[at], return_inverse=level < order, return_counts=True)
+        key, count, up = found[0], found[-1], found[0] // v
+        first, columns = first[up], [*(c[up] for c in columns), key % v]
+        yield level, first, columns, count
+        if level < order:
+            code = np.zeros(len(ids), np.int64)
+            code[at] = found[1]
 
 
 _BLOCK = "level int, shard int, first long, keys binary, words array<binary>, counts binary"
@@ -329,11 +329,12 @@ def blocks(training: DataFrame, words: Vocabulary, starts: np.ndarray, order: in
                 bounds, codes, hashes = token_hashes(part.column("text"))
                 ids = words.find(hashes)
                 end, ids = int(ids[-1]), ids[codes]
-                for level in range(3, order + 1):
-                    yield cut(level, *distinct_ngrams(ids, bounds, end, level, v), starts)
-                if held.add(*counted((previous(ids, bounds, end) * v + ids).astype(np.uint64))):
-                    keys, counts = held.take()
-                    yield cut(2, keys, [], counts, starts)
+                for level, keys, columns, counts in distinct_ngrams(ids, bounds, end, order, v):
+                    if level > 2:
+                        yield cut(level, keys, columns, counts, starts)
+                    elif held.add(keys, counts):
+                        keys, counts = held.take()
+                        yield cut(2, keys, [], counts, starts)
         keys, counts = held.take()
         yield cut(2, keys, [], counts, starts)
 
@@ -342,7 +343,12 @@ def blocks(training: DataFrame, words: Vocabulary, starts: np.ndarray, order: in
 
 def _merged(keys: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Sorted distinct n-grams and their summed counts."""
-    order = np.lexsort((*reversed(columns), keys))
+    span, wide = int(keys.max() - keys.min()) + 1, int(columns[0].max()) + 1 if columns else 1
+    if len(columns) < 2 and span * wide < 1 << 64:  # one sort of machine words, which merges the blocks' ascending pieces
+        both = (keys - keys.min()) * np.uint64(wide) + (columns[0].astype(np.uint64) if columns else np.uint64(0))
+        order = np.argsort(both, kind="stable")
+    else:
+        order = np.lexsort((*reversed(columns), keys))
     keys, columns, counts = keys[order], [c[order] for c in columns], counts[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]

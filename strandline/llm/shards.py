@@ -49,7 +49,7 @@ class _Cache(OrderedDict):
 
     @staticmethod
     def _bytes(value: np.ndarray) -> int:
-        return 0 if isinstance(value, np.memmap) else value.nbytes
+        return 0 if isinstance(value.base, np.memmap) else value.nbytes
 
 
 _LOADED = _Cache()
@@ -62,7 +62,7 @@ def load(folder: str, name: str, key: str) -> np.ndarray:
         system, where = fs.FileSystem.from_uri(folder)
         path = f"{where}/{name}.{key}.npy"
         if isinstance(system, fs.LocalFileSystem):
-            return np.load(path, mmap_mode="r", allow_pickle=False)
+            return np.load(path, mmap_mode="r", allow_pickle=False).view(np.ndarray)
         with system.open_input_stream(path, compression=None) as f:
             return np.lib.format.read_array(f, allow_pickle=False)
 

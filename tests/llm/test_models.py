@@ -23,6 +23,11 @@ def test_elias_fano_successor(values, universe):
     at, found = ef.successor(asked)
     assert np.array_equal(at, np.searchsorted(values, asked))
     assert np.array_equal(found, np.isin(asked, values))
+    cut = len(values) // 2
+    for first, end in ((0, cut), (cut, len(values)), (cut, min(len(values), cut + 3))):
+        part = values[first:end]
+        at, found = ef.successor(asked, np.full(len(asked), first), np.full(len(asked), end))
+        assert np.array_equal(found, np.isin(asked, part)) and np.array_equal(at[found], first + np.searchsorted(part, asked[found]))
 
 
 def lower(text):
@@ -98,7 +103,7 @@ def test_scores_need_the_pointers(make_docs, hard_pairs, monkeypatch):
 def test_pointers_list_a_context(make_docs):
     docs = ngram.id_text(make_docs([(k, "a b a c a b") for k in range(20)]))
     trie = ngram.build_trie(docs)
-    ids = trie.words.find(np.array([ngram.xxhash.xxh3_64_intdigest(w) for w in ("a", "b", "c", "", "zz")], np.uint64))
+    ids = trie.words.find(np.array([*ngram.word_hashes(pa.array(["a", "b", "c"]))[0], ngram.END_HASH, 12345], np.uint64))
     words, logs = trie.successors(int(ids[0]))
     assert set(words) == {ids[1], ids[2]} and ids[4] == -1
     assert logs[list(words).index(ids[1])] > logs[list(words).index(ids[2])]
