@@ -52,3 +52,29 @@ def top_labels(labels: DataFrame, k: int) -> DataFrame:
     counts = labels.where("label >= 0").groupBy("video_id", "label").agg(F.count(F.lit(1)).alias("n"))
     order = W.partitionBy("video_id").orderBy(F.desc("n"), F.desc("label"))
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def labelled(rows: DataFrame, labels: DataFrame, position: str = "clip_idx") -> DataFrame:
+    """``rows`` (video_id, position) with the label of the clip at the same position; positions only one side has are dropped."""
+    return rows.join(labels.select("video_id", F.col("clip_idx").alias(position), "label"), ["video_id", position])
+
+
+def category_codes(taxonomy: DataFrame) -> DataFrame:
+    """id, code: categories (id, category) numbered in order of their names."""
+    names = taxonomy.select("category").distinct()
+    return taxonomy.join(names.select("category", (F.dense_rank().over(W.orderBy("category")) - 1).alias("code")), "category").select("id", "code")  # a row a category
+
+
+def coded(rows: DataFrame, column: str, taxonomy: DataFrame) -> DataFrame:
+    """``rows`` with the ``code`` of their category, -1 where the taxonomy has none."""
+    return rows.join(category_codes(taxonomy).withColumnRenamed("id", column), column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
+
+
+def video_codes(videos: DataFrame) -> DataFrame:
+    """video_id, code: videos numbered in order of their ids."""
+    return videos.select("video_id", (F.row_number().over(W.orderBy("video_id")) - 1).alias("code"))  # a row a video
+
+
+def annotated(videos: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Videos with at least one interval; those without are left out."""
+    return videos.join(intervals.select("video_id"), "video_id", "left_semi")

@@ -10,23 +10,32 @@ from strandline.functions.metrics import precision_recall_f1
 
 
 def candidates(pred: DataFrame, true: DataFrame, keys: list[str], tolerance: str = "tol") -> DataFrame:
-    """keys, d, i, j of pairs at most ``tolerance`` apart (inclusive).
+    """keys, block, d, i, j of pairs at most ``tolerance`` apart (inclusive).
 
     ``pred`` and ``true`` have keys, t and the tolerance.  Both sides are binned
     by the tolerance, so the join is an equality on (keys, bin): no pair outside
-    three neighbouring bins is formed.
+    three neighbouring bins is formed.  A gap wider than the tolerance ends a
+    block: no pair reaches over it.
     """
-    rank = lambda df, name: df.withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy("t")) - 1).cast("int"))
-    cell = F.floor(F.col("t") / F.col(tolerance))
-    p = rank(pred, "i").select(*keys, F.col("t").alias("pt"), "i", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    g = rank(true, "j").select(*keys, F.col("t").alias("gt"), "j", F.col(tolerance).alias("most"), cell.alias("cell"))
-    near = p.join(g, [*keys, "cell"]).withColumn("d", F.abs(F.col("pt") - F.col("gt")))
-    return near.where("d <= most").select(*keys, "d", "i", "j")
+    both = pred.select(*keys, "t", F.col(tolerance).alias("most"), F.lit(0).alias("kind")).unionByName(true.select(*keys, "t", F.col(tolerance).alias("most"), F.lit(1).alias("kind")))
+    line = W.partitionBy(*keys).orderBy("t", "kind")
+    so_far = line.rowsBetween(W.unboundedPreceding, 0)
+    apart = (F.col("t") - F.lag("t").over(line) > F.col("most")).cast("int")
+    placed = both.withColumn("apart", F.coalesce(apart, F.lit(0))).select(
+        *keys, "t", "most", "kind", F.sum("apart").over(so_far).alias("block"), (F.sum(1 - F.col("kind")).over(so_far) - 1).cast("int").alias("i"), (F.sum("kind").over(so_far) - 1).cast("int").alias("j"), F.floor(F.col("t") / F.col("most")).alias("cell")
+    )
+    p = placed.where("kind = 0").select(*keys, "block", F.col("t").alias("pt"), "i", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    g = placed.where("kind = 1").select(*keys, "block", F.col("t").alias("gt"), "j", "most", "cell")
+    near = p.join(g, [*keys, "block", "cell"]).withColumn("d", F.abs(F.col("pt") - F.col("gt")))
+    return near.where("d <= most").select(*keys, "block", "d", "i", "j")
 
 
 def greedy_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, tp: pairs taken in order of (d, i, j), each side at most once.  Greedy, not optimal."""
-    ordered = F.array_sort(F.collect_list(F.struct("d", "i", "j")))  # as many as a video has near boundaries
+    """keys, tp: pairs taken in order of (d, i, j), each side at most once.  Greedy, not optimal.
+
+    Blocks share no boundary, so each is folded on its own and their hits are added.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("d", "i", "j")))  # as many as a block has near boundaries
     none = F.array().cast("array<int>")
     start = F.struct(none.alias("p"), none.alias("g"))
 
@@ -35,7 +44,8 @@ def greedy_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
         more = F.struct(F.array_append(a["p"], x["i"]).alias("p"), F.array_append(a["g"], x["j"]).alias("g"))
         return F.when(used, a).otherwise(more)
 
-    return pairs.groupBy(*keys).agg(ordered.alias("c")).select(*keys, F.aggregate("c", start, take, lambda a: F.size(a["p"])).cast("long").alias("tp"))
+    each = pairs.groupBy(*keys, "block").agg(ordered.alias("c")).select(*keys, F.aggregate("c", start, take, lambda a: F.size(a["p"])).cast("long").alias("tp"))
+    return each.groupBy(*keys).agg(F.sum("tp").alias("tp"))
 
 
 def boundary_scores(videos: DataFrame, pred: DataFrame, true: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,22 +20,26 @@ def heldout_video(videos: DataFrame, fraction: float, seed: int) -> DataFrame:
 def random_clip(rows: DataFrame, ids: list[str], fraction: float, seed: int) -> DataFrame:
     """``is_test`` for exactly floor(fraction * n) rows: those with the smallest keys.
 
-    The cut is found from counts per key prefix, so no task sorts all rows: rows
-    of lower prefixes are in, of higher ones out, and only the prefix in which
-    the cut falls is ranked.
+    The cut is found from counts per key prefix, a longer prefix within the one
+    in which it falls, so no task sorts all rows: rows of lower prefixes are in, of
+    higher ones out, and only one row in 16 million is ranked.
     """
     keyed = rows.withColumn("k", md5_key(F.lit(seed), *[F.col(c) for c in ids]))
-    n = keyed.groupBy(F.substring("k", 1, 3).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # 4096 rows at most
-    left, cut = int(float(fraction) * sum(r["n"] for r in n)), None
-    for r in n:
-        if r["n"] > left:
-            cut = r["p"]
-            break
-        left -= r["n"]
-    if cut is None:
-        return keyed.withColumn("is_test", F.lit(True)).drop("k")
-    edge = keyed.where(F.substring("k", 1, 3) == cut).withColumn("is_test", F.row_number().over(W.orderBy("k", *ids)) <= left)
-    rest = keyed.where(F.substring("k", 1, 3) != cut).withColumn("is_test", F.substring("k", 1, 3) < cut)
+    left, cut = None, ""
+    for size in (3, 6):
+        within = keyed.where(F.substring("k", 1, len(cut)) == cut) if cut else keyed
+        n = within.groupBy(F.substring("k", 1, size).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # 4096 rows at most
+        left, cut = int(float(fraction) * sum(r["n"] for r in n)) if left is None else left, None
+        for r in n:
+            if r["n"] > left:
+                cut = r["p"]
+                break
+            left -= r["n"]
+        if cut is None:
+            return keyed.withColumn("is_test", F.lit(True)).drop("k")
+    prefix = F.substring("k", 1, len(cut))
+    edge = keyed.where(prefix == cut).withColumn("is_test", F.row_number().over(W.orderBy("k", *ids)) <= left)
+    rest = keyed.where(prefix != cut).withColumn("is_test", prefix < cut)
     return rest.unionByName(edge).drop("k")
 
 
@@ -43,11 +47,22 @@ def heldout_participant(rows: DataFrame, names: list) -> DataFrame:
     return rows.withColumn("is_test", F.col("participant").isin(names))
 
 
+def drawn_positions(counts: DataFrame, keys: list[str], trials: int, seed: int) -> DataFrame:
+    """keys, trial, t: for counts (keys, n_pred, n_pos), min(n_pred, n_pos - 1) distinct positions of 1 .. n_pos - 1 per trial.
+
+    Positions are drawn one after another from md5 keys, repeats skipped; where
+    over a quarter of all positions is wanted, all are ranked by their keys
+    instead.  Both happen within a row: nothing is shuffled.
+    """
+    some = counts.where("n_pred > 0 and n_pos > 1")
+    most, k = F.col("most"), F.col("k")
+    each = some.select(*keys, (F.col("n_pos") - 1).cast("int").alias("most"), F.least("n_pred", F.col("n_pos") - 1).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    key = lambda x: md5_key(F.lit(seed), *map(F.col, keys), F.col("trial"), x)
+    drawn = F.array_distinct(F.transform(F.sequence(F.lit(0), 2 * k + 39), lambda j: (F.conv(F.substring(key(j), 1, 8), 16, 10).cast("long") % most + 1).cast("int")))
+    ranked = F.transform(F.array_sort(F.transform(F.sequence(F.lit(1), most), lambda t: F.struct(key(t).alias("key"), t.alias("t")))), lambda x: x["t"])
+    return each.select(*keys, "trial", F.explode(F.slice(F.when(4 * k <= most, drawn).otherwise(ranked), 1, k)).alias("t"))
+
+
 def random_boundaries(counts: DataFrame, n_pos: int, trials: int, seed: int) -> DataFrame:
-    """video_id, trial, t: for counts (video_id, n_pred), min(n_pred, n_pos - 1) distinct positions of 1 .. n_pos - 1 per trial."""
-    some = counts.where("n_pred > 0") if n_pos > 1 else counts.limit(0)
-    each = some.select("video_id", "n_pred", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    every = each.select("*", F.explode(F.sequence(F.lit(1), F.lit(max(1, n_pos - 1)))).alias("t"))
-    key = md5_key(F.lit(seed), F.col("video_id"), F.col("trial"), F.col("t"))
-    rank = F.row_number().over(W.partitionBy("video_id", "trial").orderBy(key, "t"))
-    return every.withColumn("r", rank).where(F.col("r") <= F.least(F.col("n_pred"), F.lit(n_pos - 1))).select("video_id", "trial", "t")
+    """video_id, trial, t: ``drawn_positions`` of videos (video_id, n_pred) that all have ``n_pos`` positions."""
+    return drawn_positions(counts.withColumn("n_pos", F.lit(n_pos)), ["video_id"], trials, seed)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import vectors as V
-from strandline.functions.metrics import md5_key
 from strandline.operators import classification, hierarchy, intervals, learning, matching, sequences, splits, vectors
 from strandline.plans import oracles
 from strandline.sources import bindings as B
@@ -18,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES = oracles.ORACLES
 
-LAG, TOP, SEED, FRACTION, TRIALS, SHARDS = 3, 5, 7, 0.2, 4, 8
+LAG, TOP, SEED, FRACTION, TRIALS, SHARDS = 3, 5, 7, 0.2, 200, 8
 LEVELS, BASELINES = hierarchy.geometric_levels(64, 25), 20
 
 
@@ -174,6 +173,38 @@ def top_labels(spark, sf):
     return intervals.top_labels(_labels(spark, sf), TOP)
 
 
+@query
+def labelled_features(spark, sf):
+    """Features of clips that a narration covers, by position."""
+    f = intervals.labelled(B.features(spark, sf), _labels(spark, sf)).where("label >= 0")
+    return f.select("video_id", "clip_idx", "label", F.col("embedding")[0].alias("x")).select("video_id", "clip_idx", "label", *_r("x"))
+
+
+@query
+def token_clip_purity(spark, sf):
+    """Purity of tokens against the label of the clip at their position, background left out."""
+    rows = intervals.labelled(B.tokens(spark, sf), _labels(spark, sf), "pos").where("label >= 0")
+    return sequences.purity(rows, "token", "label").select(*_r("purity"))
+
+
+@query
+def video_codes(spark, sf):
+    return intervals.video_codes(intervals.annotated(B.videos(spark, sf), B.event_times(spark, sf).where("event_type = 'purchase' and value > 60")))
+
+
+@query
+def annotated_videos(spark, sf):
+    return intervals.annotated(B.videos(spark, sf), B.event_times(spark, sf).where("event_type = 'signup' and value > 60"))
+
+
+@query
+def taxonomy_categories(spark, sf):
+    """Customers by the category of their nation, its region; nations of the last residue modulo six are unknown."""
+    nation, region = B.table(spark, sf, "nation"), B.table(spark, sf, "region")
+    taxonomy = nation.where("n_nationkey % 6 <> 5").join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_nationkey").alias("id"), F.col("r_name").alias("category"))
+    return intervals.coded(B.table(spark, sf, "customer"), "c_nationkey", taxonomy).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- vectors ----------------------------------------------------------------
 
 
@@ -261,12 +292,6 @@ def code_perplexity(spark, sf):
 
 @query
 def dead_codes(spark, sf):
-    """Codes that no early clip of video 3 uses."""
-    return vectors.dead_codes(_codebook(spark, sf), _coded(spark, sf).where("video_id = 3 and clip_idx < 10"))
-
-
-@query
-def dead_codes_all(spark, sf):
     """Codes that no clip uses."""
     return vectors.dead_codes(_codebook(spark, sf), _coded(spark, sf))
 
@@ -284,12 +309,8 @@ def participant_codes(spark, sf):
 def verb_categories(spark, sf):
     """Verbs looked up in a category table, unknown ones as -1."""
     table = spark.createDataFrame([(0, "browse"), (1, "fault"), (2, "trade"), (4, "browse")], "verb int, category string")
-    codes = table.select("category").distinct()
-    from pyspark.sql import Window as W
-
-    codes = table.join(codes.select("category", (F.dense_rank().over(W.orderBy("category")) - 1).alias("code")), "category")  # a row a category
-    rows = B.event_times(spark, sf).join(F.broadcast(codes.select(F.col("verb").alias("token"), "code")), "token", "left")
-    return rows.groupBy(F.coalesce("code", F.lit(-1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    rows = intervals.coded(B.event_times(spark, sf), "token", table.withColumnRenamed("verb", "id"))
+    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- splits -----------------------------------------------------------------
@@ -351,32 +372,25 @@ def bpe_level_boundaries(spark, sf):
     return _hierarchy(spark, sf).boundaries.groupBy("merges", "video_id").agg(F.count(F.lit(1)).alias("n_boundaries"))
 
 
-@query
-def bpe_best_level(spark, sf):
-    """Boundary F1 of every level against errors' positions, the matched random baseline averaged over ``BASELINES`` draws, and the level with the largest gain."""
+def _level_report(spark: SparkSession, sf: str, meta: DataFrame, tolerance: float) -> DataFrame:
+    """True boundaries are the places of errors among a user's events."""
     tokens = B.tokens(spark, sf)
-    true = tokens.where(F.col("token") == B.EVENT_TYPES.index("error")).select("video_id", F.col("pos").cast("long").alias("t"))
-    found = _hierarchy(spark, sf).boundaries.select("video_id", F.col("merges").cast("long").alias("merges"), F.col("pos").cast("long").alias("t"))
-    sizes = tokens.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_pos"))
-    keys, tol = ["video_id", "merges"], F.lit(1).cast("long").alias("tol")
-    levels = found.select("video_id", "merges").distinct()
-    n = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pred"))
-    n_gt = true.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    every = n.join(sizes, "video_id").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.col("n_pos") - 1))).alias("t"))
-    from pyspark.sql import Window as W
+    truth = tokens.where(F.col("token") == B.EVENT_TYPES.index("error")).join(meta, "video_id").select("video_id", (F.col("pos") / (F.col("fps") / F.col("n_clip_frame"))).alias("t"))
+    return hierarchy.level_report(tokens, truth, meta, LEVELS, tolerance, BASELINES, SEED)
 
-    each, trial = [*keys, "trial"], F.explode(F.sequence(F.lit(0), F.lit(BASELINES - 1))).alias("trial")
-    rank = F.row_number().over(W.partitionBy(*each).orderBy(md5_key(F.lit(SEED), *[F.col(c) for c in each], F.col("t")), "t"))
-    drawn = every.select("*", trial).withColumn("r", rank).where("r <= least(n_pred, n_pos - 1)").select(*each, "t")
-    truth = true.join(levels, "video_id").select(*keys, "t", tol)
-    base = n.join(n_gt, "video_id")
-    tp = matching.greedy_matches(matching.candidates(found.select(*keys, "t", tol), truth, keys), keys)
-    chance = matching.greedy_matches(matching.candidates(drawn.select(*each, "t", tol), truth.select("*", trial), each), each)
-    chance = chance.groupBy(*keys).agg((F.sum("tp") / BASELINES).alias("tp"))
-    for name, hits in (("model_f1", tp), ("random_f1", chance)):
-        base = base.join(hits, keys, "left").na.fill(0, ["tp"]).withColumn(name, 2 * F.col("tp") / (F.col("n_pred") + F.col("n_gt"))).drop("tp")
-    means = base.groupBy("merges").agg(F.avg("model_f1").alias("model_f1"), F.avg("random_f1").alias("random_f1"))
-    return hierarchy.best_level(means).select("merges", *_r("model_f1", "random_f1", "gain"))
+
+@query
+def bpe_level_report(spark, sf):
+    """Every level against the true boundaries in seconds; users of the last residue modulo seven lack clip meta and stay out."""
+    meta = B.videos(spark, sf).where("video_id % 7 <> 6").select("video_id", (5.0 * (1 + F.col("video_id") % 2)).alias("fps"), F.lit(10).alias("n_clip_frame"))
+    return _level_report(spark, sf, meta, 2.0).select("merges", "n_videos", *_r("model_f1", "random_f1", "n_boundaries"))
+
+
+@query
+def bpe_best_level(spark, sf):
+    """The level with the largest gain over the matched random baseline, a mean of ``BASELINES`` draws; one clip a second."""
+    meta = B.videos(spark, sf).select("video_id", F.lit(10.0).alias("fps"), F.lit(10).alias("n_clip_frame"))
+    return hierarchy.best_level(_level_report(spark, sf, meta, 1.0)).select("merges", *_r("model_f1", "random_f1", "gain"))
 
 
 @query
@@ -446,10 +460,59 @@ def scene_projection(spark, sf):
     return _flat(means.withColumnRenamed("mean", "embedding"), "participant")
 
 
+def _labelled(spark: SparkSession, sf: str, representation: str = "raw") -> DataFrame:
+    """Labelled clips with one column per target and one per split; ``representation`` says what the features are."""
+    f = B.features(spark, sf).where("verb >= 0")
+    if representation == "scene_removed":
+        f = vectors.project_out(f, vectors.group_subspace(f, "participant"))
+    elif representation == "residual":
+        f = vectors.residuals(f, "video_id")
+    elif representation == "videomean":
+        f = f.drop("embedding").join(vectors.group_means(f, "video_id").withColumnRenamed("mean", "embedding"), "video_id")
+    f = f.withColumn("category", (F.col("verb") / 3).cast("int")).withColumn("participant", F.col("participant").cast("int"))
+    videos = splits.heldout_video(f.select("video_id", "participant").distinct(), FRACTION, SEED).select("video_id", F.col("is_test").alias("heldout_video"))
+    f = splits.random_clip(f, ["video_id", "clip_idx"], FRACTION, SEED).withColumnRenamed("is_test", "random_clip").join(videos, "video_id")
+    return splits.heldout_participant(f, [1, 3]).withColumnRenamed("is_test", "heldout_participant")
+
+
+SPLITS, KINDS = ("random_clip", "heldout_video", "heldout_participant"), ("linear", "mlp")
+
+
+def _report(spark: SparkSession, sf: str, representation: str, tasks: list[tuple[str, str]]) -> DataFrame:
+    fits = [learning.Fit(target, split, kind) for target, split in tasks for kind in KINDS]
+    report = learning.probe_report(_labelled(spark, sf, representation), ["video_id", "clip_idx"], fits)
+    return report.select("target", F.lit(representation).alias("representation"), "split", "model", "metric", *_r("value"))
+
+
+def _reports(spark: SparkSession, sf: str, representations: tuple[str, ...], tasks: list[tuple[str, str]]) -> DataFrame:
+    out = [_report(spark, sf, r, tasks) for r in representations]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+@query
+def probe_suite(spark, sf):
+    """Verbs and categories on three splits, participants on random clips, each by both models: fourteen fits."""
+    return _report(spark, sf, "raw", [*((t, s) for t in ("verb", "category") for s in SPLITS), ("participant", "random_clip")])
+
+
+@query
+def scene_factor_report(spark, sf):
+    """Features as they are against features without the span of participants' means, on three tasks."""
+    return _reports(spark, sf, ("raw", "scene_removed"), [("participant", "random_clip"), ("category", "heldout_video"), ("category", "heldout_participant")])
+
+
+@query
+def temporal_split_report(spark, sf):
+    """Features, their video's mean, and what is left of it: categories on three splits, participants on random clips."""
+    return _reports(spark, sf, ("raw", "videomean", "residual"), [*(("category", s) for s in SPLITS), ("participant", "random_clip")])
+
+
 def _probe(spark: SparkSession, sf: str, hidden: int | None) -> DataFrame:
-    f, rows = B.features(spark, sf), []
-    for name, split in (("heldout_participant", splits.heldout_participant(f, [1, 3])), ("heldout_video", f.join(splits.heldout_video(f.select("video_id", "participant").distinct(), FRACTION, SEED).select("video_id", "is_test"), "video_id"))):
-        scored = learning.probe_scores(split.where("not is_test"), split.where("is_test"), "verb", ["video_id", "clip_idx"], hidden=hidden, epochs=20).withColumn("y_true", F.col("verb"))
+    f, rows = _labelled(spark, sf), []
+    for name in ("heldout_participant", "heldout_video"):
+        scored = learning.probe_scores(f.where(~F.col(name)), f.where(name), "verb", ["video_id", "clip_idx"], hidden=hidden).withColumn("y_true", F.col("verb"))
         rows.append(scored.agg(F.lit(name).alias("split"), F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("top1"), F.count(F.lit(1)).alias("n_test")))
     return rows[0].unionByName(rows[1])
 
@@ -461,20 +524,31 @@ def linear_probe(spark, sf):
 
 @query
 def mlp_probe(spark, sf):
-    return _probe(spark, sf, 64)
+    return _probe(spark, sf, 512)
 
 
 @query
 def residual_probe(spark, sf):
-    """The linear probe on participants, over features without their video's mean."""
-    f = vectors.residuals(B.features(spark, sf), "video_id").withColumn("participant", F.col("participant").cast("int"))
-    split = splits.random_clip(f, ["video_id", "clip_idx"], FRACTION, SEED)
-    scored = learning.probe_scores(split.where("not is_test"), split.where("is_test"), "participant", ["video_id", "clip_idx"], epochs=20)
-    return scored.agg(F.avg((F.col("participant") == F.col("y_pred")).cast("double")).alias("top1"), F.count(F.lit(1)).alias("n_test"))
+    """Both probes on participants, over features without their video's mean."""
+    return _report(spark, sf, "residual", [("participant", "random_clip")])
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.transitions(vectors.normalised(B.features(spark, sf)), LAG).select("video_id", "participant", "clip_idx", "embedding", "later")
 
 
 @query
 def nsvq_tokens(spark, sf):
-    pairs = sequences.transitions(vectors.normalised(B.features(spark, sf)), LAG).select("video_id", "clip_idx", "embedding", "later")
-    out, _ = learning.transition_tokens(pairs, ["video_id", "clip_idx"], epochs=5)
+    out, _ = learning.transition_tokens(_pairs(spark, sf).drop("participant"), ["video_id", "clip_idx"])
     return out.select("video_id", F.col("clip_idx").alias("pos"), "token")
+
+
+@query
+def nsvq_training(spark, sf):
+    """Validation error and perplexity of each epoch on held-out videos, and how far below copying the error is."""
+    pairs = _pairs(spark, sf)
+    split = splits.heldout_video(pairs.select("video_id", "participant").distinct(), FRACTION, SEED).select("video_id", "is_test")
+    both = pairs.join(split, "video_id")
+    done = learning.train_quantiser(both.where("not is_test"), both.where("is_test"), ["video_id", "clip_idx"])
+    log = [(e, mse, p, done.copy_mse, learning.percent_against(mse, done.copy_mse)) for e, mse, p in done.history]
+    return spark.createDataFrame(log, "epoch int, val_mse double, perplexity double, copy_mse double, percent_better double")

@@ -53,14 +53,60 @@ _LPT = """with recursive o as (select doc_id, coalesce(n_chars, 0)::bigint as we
 """
 
 
-def _windows(stride: int) -> str:
-    return f"select doc_id, (s // {stride})::int as clip_idx, s as start from (select doc_id, unnest(range(0, n_chars - 511, {stride})) as s from documents)"
+def _merge(only: str = "true") -> str:
+    """Table h (step, video_id, sy, a, b, n): the sequences of the videos ``only`` after each merge; table top (m): the largest symbol before."""
+    return f"""recursive_base as (select video_id, list({{'s': symbol, 'st': start}} order by run_idx) as sy from runs where {only} group by video_id),
+    top as (select max(symbol) as m from runs),
+    h as (select 0 as step, video_id, sy, null::int as a, null::int as b, null::bigint as n from recursive_base
+          union all
+          select step + 1, video_id, list_reduce(sy, lambda acc, x: case when len(acc) > 0 and acc[-1].s = p.a and x.s = p.b
+                     then list_append(acc[1:len(acc) - 1], {{'s': m + step + 1, 'st': acc[-1].st}}) else list_append(acc, x) end, []::struct(s integer, st bigint)[]), p.a, p.b, p.n
+          from h, top, (select x.s as a, y.s as b, count(*) as n from (select video_id, i, sy[i] as x, sy[i + 1] as y from (select video_id, sy, unnest(range(1, len(sy))) as i from h))
+                        group by 1, 2 having count(*) >= 2 order by n desc, min((video_id, i)) limit 1) p
+          where step < 64)"""
+
+
+_LEVELS = "0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 13, 16, 19, 23, 27, 32, 38, 45, 54, 64"
 
 
 def _md5(*parts: str) -> str:
     return f"md5(concat_ws(':', {', '.join(f'({p})::varchar' for p in parts)}))"
 
 
+def _drawn(keys: str, counts: str, trials: int) -> str:
+    """Table dr (keys, trial, t): distinct random positions for ``counts`` (keys, n_pred, n_pos)."""
+    parts = [x.strip() for x in keys.split(",")]
+    return f"""dk as (select {keys}, trial, least(n_pred, n_pos - 1) as k, n_pos - 1 as most from {counts}, range({trials}) r(trial) where n_pred > 0 and n_pos > 1),
+    d1 as (select {keys}, trial, k, ('0x' || substr({_md5('7', *parts, 'trial', 'j')}, 1, 8))::bigint % most + 1 as t, min(j) as j from (select *, unnest(range(2 * k + 40)) as j from dk where 4 * k <= most) group by {keys}, trial, k, t),
+    d2 as (select {keys}, trial, t, k, row_number() over (partition by {keys}, trial order by {_md5('7', *parts, 'trial', 't')}, t) as r from (select *, unnest(range(1, most + 1)) as t from dk where 4 * k > most)),
+    dr as (select {keys}, trial, t from (select *, row_number() over (partition by {keys}, trial order by j) as r from d1) where r <= k
+           union all select {keys}, trial, t from d2 where r <= k)"""
+
+
+def _report(meta: str, cps: str, tol: float) -> str:
+    """Table rep (merges, n_videos, model_f1, random_f1, n_boundaries)."""
+    return f"""with recursive {_RUN}, meta as (select video_id, {cps} as cps from (select distinct video_id from tok) where {meta}),
+    gt as (select video_id, pos / cps as t, row_number() over (partition by video_id order by pos) - 1 as j from tok join meta using (video_id) where token = 1),
+    el as (select video_id, n_pos, n_gt, cps from (select video_id, count(*) as n_pos from tok group by 1) join (select video_id, count(*) as n_gt from gt group by 1) using (video_id) join meta using (video_id) where n_pos >= 2),
+    {_merge('video_id in (select video_id from el)')},
+    got as (select step as merges from h where len(sy) > 1 group by 1),
+    lv as (select step as merges, video_id, sy, n_pos, n_gt, cps, len(sy) - 1 as n_pred from h join el using (video_id) where step in ({_LEVELS}) and step in (select merges from got)),
+    pm as (select merges, video_id, -1 as trial, sy[x].st / cps as t, x - 2 as i from (select *, unnest(range(2, len(sy) + 1)) as x from lv)),
+    {_drawn('video_id, merges', 'lv', 20)},
+    pr as (select merges, video_id, trial, t / cps as t, row_number() over (partition by merges, video_id, trial order by t) - 1 as i from dr join el using (video_id)),
+    p as (select * from pm union all select * from pr),
+    c as (select merges, p.video_id, trial, abs(p.t - gt.t) as d, i, j from p join gt on p.video_id = gt.video_id and abs(p.t - gt.t) <= {tol}),
+    {_match('merges, video_id, trial', 'c')},
+    f as (select merges, video_id, n_pred, case when n_pred > 0 then 2 * coalesce(a.tp, 0) / (n_pred + n_gt) else 0 end as model, case when n_pred > 0 then 2 * coalesce(b.tp, 0) / 20 / (n_pred + n_gt) else 0 end as chance
+          from lv left join (select * from m where trial = -1) a using (merges, video_id) left join (select merges, video_id, sum(tp) as tp from m where trial >= 0 group by 1, 2) b using (merges, video_id)),
+    rep as (select merges, count(*) as n_videos, avg(model) as model_f1, avg(chance) as random_f1, avg(n_pred) as n_boundaries from f group by 1)
+"""
+
+
+def _windows(stride: int) -> str:
+    return f"select doc_id, (s // {stride})::int as clip_idx, s as start from (select doc_id, unnest(range(0, n_chars - 511, {stride})) as s from documents)"
+
+
 ORACLES: dict[str, str] = {
     "boundary_f1_by_tolerance": f"{_SCORE} select video_id, tol, n_pred, n_gt, tp, round(precision, 6) as precision, round(recall, 6) as recall, round({_F1}, 6) as f1 from f",
     "boundary_macro_f1": f"{_SCORE} select tol, round(avg({_F1}), 6) as macro_f1 from f group by tol",
@@ -68,14 +114,14 @@ ORACLES: dict[str, str] = {
         r as (select *, case when n_pred > 0 then tp / n_pred else 0 end as precision, case when n_gt > 0 then tp / n_gt else 0 end as recall from q)
         select tol, tp, n_pred, n_gt, round(precision, 6) as precision, round(recall, 6) as recall, round({_F1}, 6) as f1 from r""",
     "random_boundary_f1": f"""with {_EV}, vid as (select distinct video_id from ev),
-        pr as (select video_id, count(distinct t // 3600000000) as n_pred from ev where event_type = 'purchase' group by 1),
+        pr as (select video_id, count(distinct t // 3600000000) as n_pred, 720 as n_pos from ev where event_type = 'purchase' group by 1),
         gt as (select video_id, t, row_number() over (partition by video_id order by t) - 1 as j from (select distinct video_id, t // 3600000000 as t from ev where event_type = 'error')),
         ng as (select video_id, count(*) as n_gt from gt group by 1),
-        dr as (select video_id, trial, t, n_pred, row_number() over (partition by video_id, trial order by {_md5('7', 'video_id', 'trial', 't')}, t) as r from pr, range(4) a(trial), range(1, 720) b(t)),
-        p as (select video_id, trial, t, row_number() over (partition by video_id, trial order by t) - 1 as i from dr where r <= least(n_pred, 719)),
+        {_drawn('video_id', 'pr', 200)},
+        p as (select video_id, trial, t, row_number() over (partition by video_id, trial order by t) - 1 as i from dr),
         c as (select p.video_id, trial, abs(p.t - gt.t) as d, i, j from p join gt using (video_id) where abs(p.t - gt.t) <= 3),
         {_match('video_id, trial', 'c')},
-        x as (select video_id, trial, coalesce(n_pred, 0) as n_pred, coalesce(n_gt, 0) as n_gt, coalesce(tp, 0) as tp from vid cross join range(4) a(trial)
+        x as (select video_id, trial, coalesce(n_pred, 0) as n_pred, coalesce(n_gt, 0) as n_gt, coalesce(tp, 0) as tp from vid cross join range(200) a(trial)
               left join pr using (video_id) left join ng using (video_id) left join m using (video_id, trial))
         select video_id, max(n_pred) as n_pred, round(avg(case when tp > 0 then 2 * tp / (least(n_pred, 719) + n_gt) else 0 end), 6) as random_f1 from x group by 1""",
     "rle_runs": f"with {_RUN} select * from runs",
@@ -117,8 +163,7 @@ ORACLES: dict[str, str] = {
     "nearest_code": f"with {_CODE} select video_id, clip_idx, code from coded",
     "code_usage": f"with {_CODE} select code, count(*) as n from coded group by 1",
     "code_perplexity": f"with {_CODE}, c as (select count(*) / (select count(*) from coded) as p from coded group by code) select round(exp(-sum(p * ln(p))), 6) as perplexity from c",
-    "dead_codes": f"with {_CODE} select code from book where code not in (select code from coded where video_id = 3 and clip_idx < 10)",
-    "dead_codes_all": f"with {_CODE} select code from book where code not in (select code from coded)",
+    "dead_codes": f"with {_CODE} select code from book where code not in (select code from coded)",
     "participant_codes": f"with {_FEAT} select participant, (row_number() over (order by min(video_id), participant) - 1)::int as code from feat where verb >= 0 group by 1",
     "verb_categories": f"with {_EV} select case token when 0 then 0 when 4 then 0 when 1 then 1 when 2 then 2 else -1 end as code, count(*) as n from ev group by 1",
     "heldout_video_split": f"""with v as (select distinct user_id as video_id, user_id % 5 as participant from events)
@@ -132,6 +177,17 @@ ORACLES: dict[str, str] = {
     "bpe_first_merge": f"""with {_PAIR}, best as (select a, b from pc order by n desc, first limit 1),
         gone as (select video_id, run_idx + 1 as run_idx from seq, best where symbol = a and nxt = b)
         select s.video_id, s.start as pos from seq s anti join gone using (video_id, run_idx) where run_idx > 0""",
+    "bpe_merges": f"with recursive {_RUN}, {_merge()} select distinct step, a, b, (m + step)::int as new, n from h, top where step > 0",
+    "bpe_level_boundaries": f"with recursive {_RUN}, {_merge()} select step as merges, video_id, (len(sy) - 1)::bigint as n_boundaries from h where step in ({_LEVELS}) and len(sy) > 1",
+    "bpe_level_report": f"{_report('video_id % 7 <> 6', '5.0::double * (1 + video_id % 2) / 10', 2.0)} select merges, n_videos, round(model_f1, 6) as model_f1, round(random_f1, 6) as random_f1, round(n_boundaries, 6) as n_boundaries from rep",
+    "bpe_best_level": f"""{_report('true', '1.0::double', 1.0)} select merges, round(model_f1, 6) as model_f1, round(random_f1, 6) as random_f1, round(model_f1 - random_f1, 6) as gain
+        from rep order by round(model_f1 - random_f1, 9) desc, merges limit 1""",
+    "token_clip_purity": f"with {_LAB}, tok as (select video_id, row_number() over (partition by video_id order by t, event_id) - 1 as pos, token from ev), c as (select token, label, count(*) as n from tok join lab on tok.video_id = lab.video_id and pos = clip_idx where label >= 0 group by 1, 2) select round(sum(m) / sum(s), 6) as purity from (select max(n) as m, sum(n) as s from c group by token)",
+    "labelled_features": f"with {_LAB}, {_FEAT} select feat.video_id, feat.clip_idx, label::int as label, round(v[1], 6) as x from feat join lab on feat.video_id = lab.video_id and feat.clip_idx = lab.clip_idx where label >= 0",
+    "taxonomy_categories": """with t as (select n_nationkey as id, dense_rank() over (order by r_name) - 1 as code from nation join region on n_regionkey = r_regionkey where n_nationkey % 6 <> 5)
+        select coalesce(code, -1)::int as code, count(*) as n from customer left join t on c_nationkey = id group by 1""",
+    "video_codes": f"with {_EV} select video_id, (row_number() over (order by video_id) - 1)::int as code from (select distinct video_id from ev where event_type = 'purchase' and value > 60)",
+    "annotated_videos": f"with {_EV} select distinct video_id from ev where event_type = 'signup' and value > 60",
     "lpt_shards": f"{_LPT} select shard::int as shard, doc_id, weight from a",
     "shard_spread": f"{_LPT} select count(*) as n_shards, min(t) as least, max(t) as most, max(t) - min(t) as spread from (select sum(weight)::bigint as t from a group by shard)",
     "pending_items": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'O' and o_orderpriority = '1-URGENT')",

@@ -7,8 +7,10 @@ CLIP_META = "video_id string, fps double, n_clips int, feature_dim int, model st
 CLIP_META_OLD = CLIP_META + ", delta_min int, vjepa_model string"
 NARRATION = "narration_id bigint, video_id string, start_timestamp double, end_timestamp double, verb_classes array<int>"
 TAXONOMY = "id int, key string, category string"
+CLIP_LABELS = "video_id string, clip_idx int, verb bigint"
+BOUNDARIES = "video_id string, t_sec double"
 TOKENS = "video_id string, pos int, token int"
-SHARDS = "shard int, rank int, video_id string"
+TOKEN_STATS = "video_id string, n_tokens long, n_unique long, codebook_size int, n_changes long, mean_run_length double, max_run_length long"
 PARAMETERS = "name string, shape array<int>, data array<double>"
 TRAIN_LOG = "epoch int, val_mse double, perplexity double"
 METRICS = "target string, representation string, split string, model string, metric string, value double"

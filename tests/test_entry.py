@@ -16,7 +16,7 @@ tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("customer", "documents", "embeddings", "events", "labels", "orders"):
+    for t in ("customer", "documents", "embeddings", "events", "labels", "nation", "orders", "region"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

@@ -140,6 +140,33 @@ def test_shards(spark):
     assert sorted((r.shard, r.id) for r in rows) == [(0, 0), (0, 3), (1, 1), (1, 2)]
 
 
+def test_placed_runs_against_a_heap():
+    rng = random.Random(7)
+    for _ in range(300):
+        n_shards, totals = rng.randrange(1, 6), None
+        totals, taken = [0] * n_shards, [0] * n_shards
+        plain, ranks = [0] * n_shards, [0] * n_shards
+        for w in sorted({rng.randrange(0, 12) for _ in range(4)}, reverse=True):
+            n = rng.randrange(1, 40)
+            runs = hierarchy.placed_runs(totals, taken, w, n)
+            assert len(runs) <= 2 * n_shards
+            for k in range(n):
+                s = min(range(n_shards), key=lambda x: (plain[x], x))
+                r = next(r for r in runs if r["lo"] <= k < r["lo"] + r["n"])
+                at, turn = (k - r["lo"]) % len(r["shards"]), (k - r["lo"]) // len(r["shards"])
+                assert (r["shards"][at], r["ranks"][at] + turn) == (s, ranks[s])
+                plain[s] += w
+                ranks[s] += 1
+            assert (totals, taken) == (plain, ranks)
+
+
+def test_drawn_boundaries_are_uniform(spark):
+    drawn = splits.random_boundaries(spark.createDataFrame([(1, 20)], "video_id long, n_pred long"), 101, 400, 5)
+    n = {r.t: r["count"] for r in drawn.groupBy("t").count().collect()}
+    assert sum(n.values()) == 8000 and set(n) <= set(range(1, 101)) and len(n) == 100
+    assert sum((x - 80) ** 2 / 80 for x in n.values()) < 150  # chi square with 99 degrees of freedom, at most
+
+
 def test_splits(spark):
     one = splits.heldout_video(spark.createDataFrame([("p", 1)], "participant string, video_id long"), 0.2, 1)
     assert one.first().is_test
@@ -187,7 +214,7 @@ def test_probe_learns_and_quantiser_gradient():
     y = (x[:, 0] * x[:, 1] > 0).astype(int)
     hidden = learning.Probe(hidden=32, epochs=150, batch=64, rate=1e-2).fit(x, y)
     assert (hidden.scores(x).argmax(1) == y).mean() > 0.9
-    q = learning.Quantiser(3, latent=2, codes=4, hidden=5, seed=2)
+    q = learning.Quantiser(3, latent=2, codes=4, hidden=(5, 4), decoder_hidden=(4, 5), seed=2)
     now, later, noise = rng.normal(size=(7, 3)), rng.normal(size=(7, 3)), rng.normal(size=(7, 2))
     _, grads, _ = q.loss_and_grads(now, later, noise)
     for p, g in zip(q.params, grads, strict=True):
@@ -208,3 +235,51 @@ def test_quantiser_beats_copying():
     later = now + moves[rng.integers(4, size=800)]
     q = learning.Quantiser(5, latent=8, codes=8, hidden=32, seed=1)
     assert q.fit(now, later, epochs=40, batch=64)[-1] < 0.5 * ((later - now) ** 2).mean()
+
+
+def test_probe_report_against_numpy(spark):
+    """Every metric of a fit from the model's own scores, computed by hand; an empty test split is skipped."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(300, 4)), rng.integers(0, 7, 300)
+    x[:, 0] += y
+    rows = spark.createDataFrame([(k, [float(v) for v in x[k]], int(y[k]), bool(k % 4 == 0), False) for k in range(300)], "id long, embedding array<double>, y int, s boolean, none boolean")
+    got = {(r.split, r.model, r.metric): r.value for r in learning.probe_report(rows, ["id"], [learning.Fit("y", s, m) for s in ("s", "none") for m in ("linear", "mlp")], hidden=16, epochs=60).collect()}
+    assert {s for s, *_ in got} == {"s"} and len(got) == 2 * len(learning.METRIC_NAMES)
+    train, test = np.arange(300) % 4 != 0, np.arange(300) % 4 == 0
+    order = [r.id for r in rows.where("not s").orderBy(learning.md5_key(F.lit("fit"), F.col("id"))).collect()]
+    for kind, hidden in (("linear", None), ("mlp", 16)):
+        score = learning.Probe(hidden, 60).fit(x[order], y[order]).scores(x[test])
+        said, true = score.argmax(1), y[test]
+        f1 = [2 * ((said == c) & (true == c)).sum() / ((said == c).sum() + (true == c).sum()) for c in sorted({*said, *true})]
+        top5 = np.mean([t in np.argsort(-s)[:5] for s, t in zip(score, true, strict=True)])
+        common = np.bincount(y[train]).argmax()
+        want = {"top1": (said == true).mean(), "top5": top5, "macro_f1": np.mean(f1), "majority_top1": (true == common).mean(), "chance_top1": 1 / 7, "n_train": 225, "n_test": 75, "n_classes": 7}
+        for metric, value in want.items():
+            assert got["s", kind, metric] == pytest.approx(value, abs=1e-6), metric
+
+
+def test_scene_projection_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    x, part = rng.normal(size=(60, 6)), np.arange(60) % 4
+    x += rng.normal(size=(4, 6))[part]
+    f = spark.createDataFrame([(int(part[k]), k, [float(v) for v in x[k]]) for k in range(60)], "participant long, clip_idx long, embedding array<double>")
+    got = {r.clip_idx: r.embedding for r in vectors.project_out(f, vectors.group_subspace(f, "participant")).collect()}
+    means = np.stack([x[part == p].mean(0) for p in range(4)]) - x.mean(0)
+    values, basis = np.linalg.eigh(means.T @ means)
+    q = basis[:, np.sqrt(np.maximum(values, 0)) > 1e-3 * np.sqrt(values.max())]
+    want = x - x @ q @ q.T
+    assert all(np.allclose(got[k], want[k], atol=1e-8) for k in got)
+
+
+def test_training_streams_all_pairs_and_scores_held_out_videos(spark):
+    rng = np.random.default_rng(3)
+    moves = rng.normal(size=(4, 5))
+    now = rng.normal(size=(900, 5))
+    later = now + moves[rng.integers(4, size=900)]
+    rows = spark.createDataFrame([(k, now[k].tolist(), later[k].tolist()) for k in range(900)], "id long, embedding array<double>, later array<double>")
+    held = rows.where("id % 5 = 0")
+    done = learning.train_quantiser(rows.where("id % 5 <> 0"), held, ["id"], epochs=25, batch=64, latent=8, codes=8, hidden=32)
+    at = np.arange(900) % 5 == 0
+    assert done.copy_mse == pytest.approx(((later - now)[at] ** 2).mean())
+    assert done.history[-1][1] == pytest.approx(((done.model.reconstruct(now[at], later[at]) - later[at]) ** 2).mean())
+    assert len(done.history) == 25 and done.percent_better() > 40 and 1 <= done.history[-1][2] <= 8
