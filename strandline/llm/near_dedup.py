@@ -14,18 +14,20 @@ shared folder that executors memory-map; all others are in one.
    jumping over the verified pairs gives classes.
 4. A bucket whose members are still in several classes compares the members
    outside its largest class with a few of that class, other ones each turn.
-5. What is unsettled even then is worked out in full: every member outside its
-   bucket's largest class is compared with every member of another class, but for
-   pairs that can't be similar because of the shingles only one of them has.  No
-   other candidate pair is skipped unless it is within one class already, so
-   classes are those of all candidate pairs.
+5. What is unsettled even then is worked out in full: a member outside its
+   bucket's largest class meets every member of another class with which it shares
+   a bucket and one of its rarest shingles, those without which the rest weighs too
+   little for similar texts.  Documents that share common passages alone are thus
+   never paired.  No other candidate pair is skipped unless it is within one class
+   already, so classes are those of all candidate pairs.
 
 Pairs are verified by exact weighted Jaccard similarity over the whole texts.
 
 Defined cases: null text is empty, texts without words are one class; a null id
-is a class of its own; rows that repeat an id are one document; an empty table
-gives an empty result; further columns are not read (``drop_near_duplicates``
-carries them).
+is a class of its own; rows that repeat an id are told apart, each is compared by
+its own text, and of a class with several rows of the smallest id one is kept; an
+empty table gives an empty result; further columns are not read
+(``drop_near_duplicates`` carries them).
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import boxed, coded_words, id_text, slices
+from strandline.llm.common import coded_words, id_text, slices
 from strandline.llm.hashing import Rolling, mix, word_hashes
 from strandline.llm.shards import Gathered, load, merge, save, squeeze, unsqueeze
 from strandline.scratch import drop, materialise, new_path
@@ -253,12 +255,15 @@ def similarity(left: pa.Array, right: pa.Array, idf: Frequencies) -> np.ndarray:
     return np.where(total > 0, both / np.maximum(total - both, 1e-12), 1.0)
 
 
-def _sizes(texts: DataFrame, known: Broadcast) -> DataFrame:
-    """doc_id, total, own: a document's weight, and the weight of shingles that no other of ``texts`` has.
+def _sizes(texts: DataFrame, known: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, total, own): a document's weight, and the weight of shingles that no other of ``texts`` has; (doc_id, hash) of its rarest shingles.
 
     Two of these documents share at most ``total - own`` of either, and their
     union holds the total of the one and what is the other's own: an exact upper
-    bound of their similarity.
+    bound of their similarity.  The rarest shingles are those, by frequency and
+    hash, after which less than ``SIMILAR`` of the weight is left: of two similar
+    documents the one whose rarest shingles end first has one in common with the
+    rarest of the other, or else they share too little.
     """
     kind = texts.schema["doc_id"].dataType.simpleString()
 
@@ -268,13 +273,23 @@ def _sizes(texts: DataFrame, known: Broadcast) -> DataFrame:
                 bounds, hashes, counts, _ = shingles(part.column("text"))
                 rows = pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))
                 weight = known.value.weights(hashes, counts).astype(float)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), pa.array(hashes.view(np.int64)), pa.array(weight)], ["doc_id", "hash", "w"])
-
-    each = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hash long, w double"), "shingles")
+                row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                order = np.lexsort((hashes, known.value.df(hashes), row))
+                sums = np.concatenate([[0.0], np.cumsum(weight[order])])
+                begin, total = sums[bounds[:-1]], sums[bounds[1:]] - sums[bounds[:-1]]
+                rare = np.zeros(len(order), bool)
+                rare[order] = sums[:-1] - begin[row] <= (1 - SIMILAR) * total[row] + 1e-3
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), pa.array(hashes.view(np.int64)), pa.array(weight), pa.array(rare)], ["doc_id", "hash", "w", "rare"])
+
+    each = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hash long, w double, rare boolean"), "shingles")
     single = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("w").alias("w")).where("n = 1")
     total = each.groupBy("doc_id").agg(F.sum("w").alias("total"))
     own = single.groupBy("doc_id").agg(F.sum("w").alias("own"))
-    return total.join(own, "doc_id", "left").na.fill(0.0, ["own"])
+    sizes = materialise(total.join(own, "doc_id", "left").na.fill(0.0, ["own"]), "sizes")
+    possible = sizes.where(f"total - own >= {SIMILAR} * total - 1e-3").select("doc_id")
+    rare = materialise(each.where("rare").join(possible, "doc_id").select("doc_id", "hash"), "rare")
+    drop(each)
+    return sizes, rare
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, known: Broadcast) -> DataFrame:
@@ -342,44 +357,51 @@ def _renamed(edges: DataFrame, step: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, kept of (doc_id, text), one row per row; ``class_id`` is the smallest id of the class."""
-    survey = materialise(_survey(docs), "survey")
+    """row, doc_id, class_id, kept of (row, doc_id, text), a stored table in which ``row`` is each row's own number.
+
+    ``class_id`` is the smallest id of the class; the row that stays is the one
+    with the smallest id and number.
+    """
+    numbered = docs.select(F.col("row").alias("doc_id"), "text")  # all steps tell documents apart by their numbers
+    survey = materialise(_survey(numbered), "survey")
     idf = docs.sparkSession.sparkContext.broadcast(_frequencies(survey))
-    rows = materialise(survey.where("shard is null").select("doc_id", "k1", "k2"), "rows")
+    rows = materialise(survey.where("shard is null").select(F.col("doc_id").alias("row"), "k1", "k2").join(docs.select("row", F.col("doc_id").alias("id")), "row"), "rows")
     drop(survey)
-    nodes = materialise(rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
-    reps = nodes.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("node").alias("doc_id"), "k.k1", "k.k2")
-    signed = materialise(_signatures(docs.where("doc_id is not null"), idf), "signed")
-    members = signed.join(reps, ["doc_id", "k1", "k2"]).select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    members = materialise(members.dropDuplicates(["doc_id", "band"]), "members")
+    first = F.min(F.struct("id", "row")).alias("least")
+    nodes = materialise(rows.where("id is not null").groupBy("k1", "k2").agg(F.min("row").alias("node"), first), "nodes")
+    signed = materialise(_signatures(docs.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text"), idf), "signed")
+    members = signed.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    members = materialise(members, "members")
     leaders = materialise(members.groupBy("band", "bucket").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
     shared = materialise(members.join(leaders, ["band", "bucket"]).select("band", "bucket", "doc_id", "leader"), "shared")
-    wanted = shared.select("doc_id").distinct()
-    texts = materialise(docs.join(wanted, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
+    drop(members, leaders)
+    texts = materialise(numbered.join(shared.select("doc_id").distinct(), "doc_id"), "texts")
     pairs = shared.groupBy("doc_id").agg(F.min("leader").alias("a")).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
-    first = materialise(_verified(pairs, texts, idf), "links")
-    classes = _roots(first.select(F.col("b").alias("node"), F.col("a").alias("root")))
-    tried, sizes = pairs, None
-    keys = signed.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "bands")).alias("s")).select("doc_id", "s.bands")
+    links = materialise(_verified(pairs, texts, idf), "links")
+    classes = _roots(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
+    tried, sizes, rare = pairs, None, None
+    keys = signed.select("doc_id", "bands")
     for turn in range(TURNS):
         open_ = _unsettled(shared, classes)
         if sizes is None:
-            sizes = materialise(_sizes(texts.join(open_.select("doc_id").distinct(), "doc_id"), idf), "sizes")
+            sizes, rare = _sizes(texts.join(open_.select("doc_id").distinct(), "doc_id"), idf)
         open_ = materialise(open_.join(sizes.where(F.col("total") - F.col("own") >= SIMILAR * F.col("total") - 1e-3), "doc_id"), "bounded")
         side = lambda x: [F.col("doc_id").alias(x), F.col("root").alias(f"r{x}"), F.col("total").alias(f"t{x}"), F.col("own").alias(f"o{x}")]
-        outside = open_.where("root <> main").select("band", "bucket", *side("x"))
-        against = open_.select("band", "bucket", *side("y"), (F.col("root") == F.col("main")).alias("inner"))
-        outside, against = (df.join(keys.select(F.col("doc_id").alias(k), F.col("bands").alias(f"b{k}")), k) for df, k in ((outside, "x"), (against, "y")))
-        # a pair once: in the first band its documents share, and from the side of the smaller id if both are outside
-        once = (F.expr("array_position(zip_with(bx, by, (p, q) -> p = q), true)") == F.col("band") + 1) & (F.col("inner") | (F.col("x") < F.col("y")))
+        near = F.least(F.expr("tx - ox"), F.expr("ty - oy")) >= SIMILAR * F.greatest(F.expr("tx + oy"), F.expr("ty + ox")) - 1e-3
         if turn < TURNS - 1:  # a few members of the largest class, others each turn
             draw = F.xxhash64("doc_id", F.lit(turn))
             few = open_.where("root = main").groupBy("band", "bucket", F.pmod(draw, F.lit(STAND_INS)).alias("s"))
             few = few.agg(F.min(F.struct(draw.alias("m"), "doc_id", "root", "total", "own")).alias("y"))
-            against, once = few.select("band", "bucket", "y.*").select("band", "bucket", *side("y")), F.lit(True)
-        near = F.least(F.expr("tx - ox"), F.expr("ty - oy")) >= SIMILAR * F.greatest(F.expr("tx + oy"), F.expr("ty + ox")) - 1e-3
-        left = outside.join(against, ["band", "bucket"]).where((F.col("rx") != F.col("ry")) & near & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            met = open_.where("root <> main").select("band", "bucket", *side("x")).join(few.select("band", "bucket", "y.*").select("band", "bucket", *side("y")), ["band", "bucket"])
+        else:  # all that share a bucket and a rare shingle
+            outside = F.max((F.col("root") != F.col("main")).cast("int")).alias("outside")  # of some bucket's largest class
+            each = open_.groupBy("doc_id", "root", "total", "own").agg(outside).join(keys, "doc_id").join(rare, "doc_id")
+            x = each.where("outside = 1").select("hash", *side("x"), F.col("bands").alias("bx"))
+            y = each.select("hash", *side("y"), F.col("bands").alias("by"))
+            met = x.join(y, "hash").where(F.expr("exists(zip_with(bx, by, (p, q) -> p = q), z -> z)"))
+        left = met.where((F.col("rx") != F.col("ry")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         left = materialise(left.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        drop(open_)
         if left.isEmpty():
             continue
         tried = tried.unionByName(left)
@@ -387,19 +409,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
         if not merged.isEmpty():
             step = _components(merged)
             classes = _follow(classes, step).unionByName(step.join(classes, "node", "left_anti"))
-    top = nodes.join(classes, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
+    rooted = nodes.join(classes, "node", "left").select("k1", "k2", "least", F.coalesce("root", "node").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("least").alias("stays"))
+    top = rooted.join(stays, "root").select("k1", "k2", "stays")
     found = rows.join(top, ["k1", "k2"], "left")
-    class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return found.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    known = F.col("id").isNotNull()
+    return found.select("row", F.col("id").alias("doc_id"), F.when(known, F.col("stays.id")).alias("class_id"), F.coalesce(~known | (F.col("row") == F.col("stays.row")), F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return near_classes(id_text(docs, id_col, text_col))
+    """doc_id, class_id, kept, one row per row."""
+    return near_classes(materialise(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "documents")).drop("row")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each class, columns as they are; rows with a null id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    rows = boxed(docs).select("doc_id", "row")
-    joined = rows.join(kept, rows["doc_id"] == kept["id"], "left")
-    return joined.where("id is not null or doc_id is null").select("row.*")
+    """``docs`` with one row of each class, that of the smallest doc_id, columns as they are; rows with a null id stay."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box")
+    stored = materialise(docs.select(whole, F.monotonically_increasing_id().alias("row")), "documents")
+    known = stored.select("row", F.col("box.doc_id").alias("doc_id"), F.coalesce("box.text", F.lit("")).alias("text"))
+    return stored.join(near_classes(known).where("kept").select("row"), "row").select("box.*")

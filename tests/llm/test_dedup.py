@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -147,39 +148,55 @@ def test_substring_hot_keys_are_salted(make_docs, monkeypatch):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in rows) == removal(pairs, 50)
 
 
-def plain_classes(pairs, idf):
-    ids = sorted({i for i, _ in pairs if i is not None})
-    texts = {}
-    for i, t in pairs:
-        if i is not None:
-            texts.setdefault(i, t or "")
-    parent = {i: i for i in ids}
+def plain_similarity(texts):
+    """Weighted Jaccard similarity over five-word shingles with (1 + ln tf) * idf, from dictionaries."""
+    bags = []
+    for t in texts:
+        w = (t or "").encode().split()
+        bags.append(Counter([tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []))
+    df = Counter(s for b in bags for s in b)
+    n = len(texts)
+    idf = {s: 1 + 0.25 * math.log((n + 1) / (c + 1)) / math.log(n + 1) for s, c in df.items()}
+    weights = [{s: (1 + math.log(c)) * idf[s] for s, c in b.items()} for b in bags]
+
+    def similar(i, j):
+        a, b = weights[i], weights[j]
+        both = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+        every = sum(a.values()) + sum(b.values()) - both
+        return both / every if every else 1.0
+
+    return similar
+
+
+def plain_classes(pairs):
+    """The smallest id of each row's class, by every pair of rows; null ids have none."""
+    known = [k for k, (i, _) in enumerate(pairs) if i is not None]
+    similar, parent = plain_similarity([t for _, t in pairs]), list(range(len(pairs)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in ids:
-        for b in ids:
-            if a < b and find(a) != find(b):
-                same = texts[a].encode().split() == texts[b].encode().split()
-                if same or near_dedup.similarity(pa.array([texts[a]]), pa.array([texts[b]]), idf)[0] >= 0.8:
-                    x, y = find(a), find(b)
-                    parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
+    for a in known:
+        for b in known:
+            if a < b and find(a) != find(b) and similar(a, b) >= 0.8:
+                parent[find(b)] = find(a)
+    least = {}
+    for k in known:
+        least[find(k)] = min(least.get(find(k), pairs[k][0]), pairs[k][0])
+    return [None if i is None else least[find(k)] for k, (i, _) in enumerate(pairs)]
 
 
 def test_near_against_brute_force(make_docs, hard_pairs):
     docs = make_docs(hard_pairs)
     rows = near_dedup.near_duplicates(docs).collect()
     assert len(rows) == len(hard_pairs)
-    base = near_dedup.id_text(docs)
-    idf = near_dedup._frequencies(near_dedup._survey(base))
-    want = plain_classes(hard_pairs, idf)
-    got = {r.doc_id: r.class_id for r in rows if r.doc_id is not None}
-    assert got == want
-    assert all(r.kept == (r.doc_id is None or r.doc_id == r.class_id) for r in rows)
+    assert sorted(map(str, zip((i for i, _ in hard_pairs), plain_classes(hard_pairs), strict=True))) == sorted(str((r.doc_id, r.class_id)) for r in rows)
+    assert all(r.kept <= (r.doc_id is None or r.doc_id == r.class_id) for r in rows)
+    classes = [r.class_id for r in rows if r.kept and r.class_id is not None]
+    assert len(classes) == len(set(classes)) == len({r.class_id for r in rows} - {None})
+    got = {r.doc_id: r.class_id for r in rows}
     assert got[21] == got[22] == got[23] == 20
 
 
@@ -201,6 +218,55 @@ def test_document_frequencies_are_exact_at_any_load(make_docs, hard_pairs, monke
     assert np.allclose(idf.of(hashes), 1 + near_dedup.SPREAD * np.log((n + 1) / (df + 1)) / np.log(n + 1))
 
 
+def test_near_tells_rows_of_one_id_apart(make_docs):
+    rng = random.Random(21)
+    a, b = (" ".join(words(rng, 200)) for _ in range(2))
+    docs = make_docs([(1, a), (2, b), (2, a + " more"), (3, b + " more"), (2, b)])
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id) for r in rows) == [(1, 1), (2, 1), (2, 2), (2, 2), (3, 2)]
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (2, b)]
+
+
+def test_near_hot_bucket_of_many_classes(make_docs, monkeypatch):
+    """One bucket holds all documents: 30 classes of near copies, all with a common half, which two turns of stand-ins can't settle; no link is lost."""
+    signatures, sizes = near_dedup._signatures, []
+    monkeypatch.setattr(near_dedup, "_signatures", lambda docs, known: signatures(docs, known).withColumn("bands", near_dedup.F.expr("transform(bands, (x, i) -> if(i = 0, 7L, x))")))
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *more: sizes.append(pairs.count()) or verified(pairs, *more))
+    monkeypatch.setattr(near_dedup, "STAND_INS", 2)
+    rng = random.Random(22)
+    common, pairs = words(rng, 150), []
+    for k in range(30):
+        own = words(rng, 150)
+        for j in range(4):
+            text = common + own
+            text[160 + 30 * j] = f"changed{k}"
+            pairs.append((k + 40 * ((j * 7 + k) % 4), " ".join(text)))
+    rows = near_dedup.near_duplicates(make_docs(pairs)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in rows) == sorted(zip((i for i, _ in pairs), plain_classes(pairs), strict=True))
+    assert len({r.class_id for r in rows}) == 30
+    assert sizes[-1] < 30 * 12  # the last turn pairs no two documents that share the common half alone
+
+
+def test_rarest_shingles_meet_for_all_similar_texts(make_docs):
+    rng = random.Random(23)
+    base, pairs = words(rng, 60), []
+    for k in range(30):
+        text = list(base)
+        for _ in range(k % 4):
+            text[rng.randrange(60)] = rng.choice(base[:9] + [f"n{rng.randrange(6)}"])
+        pairs.append((k, " ".join(text)))
+    docs = near_dedup.id_text(make_docs(pairs))
+    idf = docs.sparkSession.sparkContext.broadcast(near_dedup._frequencies(near_dedup._survey(docs)))
+    rare = defaultdict(set)
+    for r in near_dedup._sizes(docs, idf)[1].collect():
+        rare[r.doc_id].add(r.hash)
+    similar = plain_similarity([t for _, t in pairs])
+    near = [(a, b) for a in range(30) for b in range(a) if similar(a, b) >= 0.8]
+    assert len(near) > 20 and all(rare[a] & rare[b] for a, b in near)
+
+
 def test_near_chain_is_one_class(make_docs):
     rng = random.Random(2)
     text = [f"u{rng.randrange(10**6)}" for _ in range(400)]
