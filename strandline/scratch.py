@@ -106,7 +106,7 @@ def materialise(df: DataFrame, name: str, *keys: str, partitions: int | None = N
         df = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
     path = new_path(spark, name)
     with _shuffles_end(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
