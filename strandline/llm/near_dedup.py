@@ -15,10 +15,10 @@ shared folder that executors memory-map; all others are in one.
 4. A bucket whose members are still in several classes compares the members
    outside its largest class with a few of that class, other ones each turn.
 5. What is unsettled even then is worked out in full: a member outside its
-   bucket's largest class meets every member of another class with which it shares
-   a bucket and one of its rarest shingles, those without which the rest weighs too
-   little for similar texts.  Documents that share common passages alone are thus
-   never paired.  No other candidate pair is skipped unless it is within one class
+   bucket's largest class meets every member of another class, in a bucket with
+   many such members only those that share one of its rarest shingles, without
+   which the rest weighs too little for similar texts.  Documents that share common
+   passages alone are thus not paired over and over.  No other candidate pair is skipped unless it is within one class
    already, so classes are those of all candidate pairs.
 
 Pairs are verified by exact weighted Jaccard similarity over the whole texts.
@@ -48,7 +48,7 @@ from strandline.scratch import drop, materialise, new_path
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 4
-TURNS, STAND_INS = 3, 8
+TURNS, STAND_INS, PLAIN = 3, 8, 50
 SPREAD = 0.25
 CHARS_A_SHARD = 8_000_000
 _SLICE, _CHUNK = 3_000_000, 80_000
@@ -356,6 +356,22 @@ def _renamed(edges: DataFrame, step: DataFrame) -> DataFrame:
     return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _meetings(open_: DataFrame, rare: DataFrame, side) -> DataFrame:
+    """Members outside their bucket's largest class with the members they may be similar to.
+
+    In a bucket with at most ``PLAIN`` members outside, each meets all others there:
+    the pairs grow with the bucket, not with its square.  In any other bucket they
+    must share one of their rarest shingles.  Both ways find every similar pair.
+    """
+    key = ["band", "bucket"]
+    outside = open_.where("root <> main").groupBy(*key).agg(F.count(F.lit(1)).alias("outside"))
+    sized = materialise(open_.join(outside, key), "sized")
+    plain, crowded = sized.where(F.col("outside") <= PLAIN), sized.where(F.col("outside") > PLAIN).join(rare, "doc_id")
+    names = [c for x in "xy" for c in (x, f"r{x}", f"t{x}", f"o{x}")]
+    met = [df.where("root <> main").select(*on, *side("x")).join(df.select(*on, *side("y")), on).select(*names) for df, on in ((plain, key), (crowded, [*key, "hash"]))]
+    return met[0].unionByName(met[1])
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """row, doc_id, class_id, kept of (row, doc_id, text), a stored table in which ``row`` is each row's own number.
 
@@ -380,7 +396,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     links = materialise(_verified(pairs, texts, idf), "links")
     classes = _roots(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
     tried, sizes, rare = pairs, None, None
-    keys = signed.select("doc_id", "bands")
+    drop(signed)
     for turn in range(TURNS):
         open_ = _unsettled(shared, classes)
         if sizes is None:
@@ -393,12 +409,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
             few = open_.where("root = main").groupBy("band", "bucket", F.pmod(draw, F.lit(STAND_INS)).alias("s"))
             few = few.agg(F.min(F.struct(draw.alias("m"), "doc_id", "root", "total", "own")).alias("y"))
             met = open_.where("root <> main").select("band", "bucket", *side("x")).join(few.select("band", "bucket", "y.*").select("band", "bucket", *side("y")), ["band", "bucket"])
-        else:  # all that share a bucket and a rare shingle
-            outside = F.max((F.col("root") != F.col("main")).cast("int")).alias("outside")  # of some bucket's largest class
-            each = open_.groupBy("doc_id", "root", "total", "own").agg(outside).join(keys, "doc_id").join(rare, "doc_id")
-            x = each.where("outside = 1").select("hash", *side("x"), F.col("bands").alias("bx"))
-            y = each.select("hash", *side("y"), F.col("bands").alias("by"))
-            met = x.join(y, "hash").where(F.expr("exists(zip_with(bx, by, (p, q) -> p = q), z -> z)"))
+        else:
+            met = _meetings(open_, rare, side)
         left = met.where((F.col("rx") != F.col("ry")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         left = materialise(left.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         drop(open_)
