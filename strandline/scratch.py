@@ -95,18 +95,18 @@ def _shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def materialise(df: DataFrame, name: str, *keys: str, partitions: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, *keys: str, partitions: int | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a scratch table and read it back.
 
     With ``keys`` the rows are first dealt by them (``partitions`` ways, or as
-    many as the session shuffles into).
+    many as the session shuffles into).  ``codec`` is worth changing for tables of texts.
     """
     spark = df.sparkSession
     if keys:
         df = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
     path = new_path(spark, name)
     with _shuffles_end(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
