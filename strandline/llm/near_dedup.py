@@ -286,8 +286,7 @@ def _sizes(texts: DataFrame, known: Broadcast) -> tuple[DataFrame, DataFrame]:
     total = each.groupBy("doc_id").agg(F.sum("w").alias("total"))
     own = single.groupBy("doc_id").agg(F.sum("w").alias("own"))
     sizes = materialise(total.join(own, "doc_id", "left").na.fill(0.0, ["own"]), "sizes")
-    possible = sizes.where(f"total - own >= {SIMILAR} * total - 1e-3").select("doc_id")
-    rare = materialise(each.where("rare").join(possible, "doc_id").select("doc_id", "hash"), "rare")
+    rare = materialise(each.where("rare").select("doc_id", "hash"), "rare")
     drop(each)
     return sizes, rare
 
@@ -391,7 +390,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     leaders = materialise(members.groupBy("band", "bucket").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
     shared = materialise(members.join(leaders, ["band", "bucket"]).select("band", "bucket", "doc_id", "leader"), "shared")
     drop(members, leaders)
-    texts = materialise(numbered.join(shared.select("doc_id").distinct(), "doc_id"), "texts")
+    texts = materialise(numbered.join(shared.select("doc_id").distinct(), "doc_id"), "texts", codec="zstd")
     pairs = shared.groupBy("doc_id").agg(F.min("leader").alias("a")).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
     links = materialise(_verified(pairs, texts, idf), "links")
     classes = _roots(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
@@ -431,12 +430,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, kept, one row per row."""
-    return near_classes(materialise(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "documents")).drop("row")
+    return near_classes(materialise(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "documents", codec="zstd")).drop("row")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest doc_id, columns as they are; rows with a null id stay."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box")
-    stored = materialise(docs.select(whole, F.monotonically_increasing_id().alias("row")), "documents")
+    stored = materialise(docs.select(whole, F.monotonically_increasing_id().alias("row")), "documents", codec="zstd")
     known = stored.select("row", F.col("box.doc_id").alias("doc_id"), F.coalesce("box.text", F.lit("")).alias("text"))
     return stored.join(near_classes(known).where("kept").select("row"), "row").select("box.*")

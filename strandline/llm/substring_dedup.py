@@ -257,7 +257,7 @@ def keep_mask(n_words: int, spans: list[dict], width: int) -> np.ndarray:
 
 def removal_digest(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    rows = materialise(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = materialise(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "rows", codec="zstd")
     marked = rows.join(removed_spans(rows, width, kmer), "row", "left")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER) -> Dat
     words went, one space joins the rest.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box")
-    stored = materialise(docs.select(whole, F.monotonically_increasing_id().alias("row")), "rows")
+    stored = materialise(docs.select(whole, F.monotonically_increasing_id().alias("row")), "rows", codec="zstd")
     rows = stored.select("row", F.col("box.doc_id").alias("doc_id"), F.coalesce("box.text", F.lit("")).alias("text"))
     marked = stored.join(removed_spans(rows, width, kmer), "row", "left")
     @F.pandas_udf("string")
