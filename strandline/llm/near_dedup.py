@@ -48,7 +48,7 @@ from strandline.scratch import drop, materialise, new_path
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 4
-TURNS, STAND_INS, PLAIN = 3, 8, 50
+TURNS, STAND_INS, PLAIN = 3, 8, 1000
 SPREAD = 0.25
 CHARS_A_SHARD = 8_000_000
 _SLICE, _CHUNK = 3_000_000, 80_000
@@ -355,20 +355,28 @@ def _renamed(edges: DataFrame, step: DataFrame) -> DataFrame:
     return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _meetings(open_: DataFrame, rare: DataFrame, side) -> DataFrame:
+def _meetings(open_: DataFrame, rare: DataFrame, keys: DataFrame, side) -> DataFrame:
     """Members outside their bucket's largest class with the members they may be similar to.
 
-    In a bucket with at most ``PLAIN`` members outside, each meets all others there:
-    the pairs grow with the bucket, not with its square.  In any other bucket they
-    must share one of their rarest shingles.  Both ways find every similar pair.
+    In a bucket with at most ``PLAIN`` members outside, each meets all others there,
+    a pair once, in the first band its documents share: the pairs grow with the
+    bucket, not with its square.  In any other bucket they must share one of their
+    rarest shingles.  Both ways find every similar pair.  A member brings tens of
+    rare shingles into a join that moves each of them, so this pays only where it
+    would otherwise meet many times as many members.
     """
     key = ["band", "bucket"]
     outside = open_.where("root <> main").groupBy(*key).agg(F.count(F.lit(1)).alias("outside"))
     sized = materialise(open_.join(outside, key), "sized")
     plain, crowded = sized.where(F.col("outside") <= PLAIN), sized.where(F.col("outside") > PLAIN).join(rare, "doc_id")
     names = [c for x in "xy" for c in (x, f"r{x}", f"t{x}", f"o{x}")]
-    met = [df.where("root <> main").select(*on, *side("x")).join(df.select(*on, *side("y")), on).select(*names) for df, on in ((plain, key), (crowded, [*key, "hash"]))]
-    return met[0].unionByName(met[1])
+    bands = lambda x: keys.select(F.col("doc_id").alias(x), F.col("bands").alias(f"b{x}"))
+    x = plain.where("root <> main").select(*key, *side("x")).join(bands("x"), "x")
+    y = plain.select(*key, *side("y"), (F.col("root") == F.col("main")).alias("inner")).join(bands("y"), "y")
+    once = (F.expr("array_position(zip_with(bx, by, (p, q) -> p = q), true)") == F.col("band") + 1) & (F.col("inner") | (F.col("x") < F.col("y")))
+    on = [*key, "hash"]
+    rest = crowded.where("root <> main").select(*on, *side("x")).join(crowded.select(*on, *side("y")), on)
+    return x.join(y, key).where(once).select(*names).unionByName(rest.select(*names))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -395,7 +403,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     links = materialise(_verified(pairs, texts, idf), "links")
     classes = _roots(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
     tried, sizes, rare = pairs, None, None
-    drop(signed)
+    keys = signed.select("doc_id", "bands")
     for turn in range(TURNS):
         open_ = _unsettled(shared, classes)
         if sizes is None:
@@ -409,7 +417,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
             few = few.agg(F.min(F.struct(draw.alias("m"), "doc_id", "root", "total", "own")).alias("y"))
             met = open_.where("root <> main").select("band", "bucket", *side("x")).join(few.select("band", "bucket", "y.*").select("band", "bucket", *side("y")), ["band", "bucket"])
         else:
-            met = _meetings(open_, rare, side)
+            met = _meetings(open_, rare, keys, side)
         left = met.where((F.col("rx") != F.col("ry")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         left = materialise(left.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         drop(open_)
