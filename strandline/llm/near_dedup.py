@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import coded_words, id_text, slices
 from strandline.llm.hashing import Rolling, mix, word_hashes
-from strandline.llm.shards import Gathered, load, merge, save, squeeze, unsqueeze
+from strandline.llm.shards import Gathered, chosen, load, merge, save, squeeze, unsqueeze
 from strandline.scratch import drop, materialise, new_path
 
 WORDS, SIMILAR = 5, 0.8
@@ -117,13 +117,13 @@ def _cut(ranked: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: (doc_id, k1, k2) of every document, and (shard, bits, first, keys, counts) of a task's distinct shingles, block by block."""
-    names = ["doc_id", "k1", "k2", "shard", "bits", "first", "keys", "counts"]
+    """(shard, bits, first, keys, counts) of a task's distinct shingles, block by block."""
+    names = ["shard", "bits", "first", "keys", "counts"]
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     bits = max(3, (chars // CHARS_A_SHARD).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kind = Gathered(), None
+        held = Gathered()
 
         def out() -> pa.RecordBatch:
             keys, counts = held.take()
@@ -131,25 +131,21 @@ def _survey(docs: DataFrame) -> DataFrame:
             rows = [(k, bits, int(keys[a : a + 1].view(np.int64)[0]), squeeze(np.diff(keys[a:b], prepend=keys[a])), squeeze(counts[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(rows), kind), *(pa.nulls(len(rows), pa.int64()) for _ in range(2)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            kind = batch.column("doc_id").type
             for part in slices(batch, "text", _SLICE):
-                _, hashes, _, keys = shingles(part.column("text"))
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in (0, 1)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+                _, hashes, _, _ = shingles(part.column("text"))
                 if held.add(*merge([hashes], [np.ones(len(hashes), np.int64)])):
                     yield out()
-        if kind is not None:
-            yield out()
+        yield out()
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, shard int, bits int, first long, keys binary, counts binary")
+    return docs.select("text").mapInArrow(run, "shard int, bits int, first long, keys binary, counts binary")
 
 
-def _frequencies(survey: DataFrame) -> Frequencies:
+def _frequencies(docs: DataFrame) -> Frequencies:
     """Merge the tasks' blocks shard by shard; the driver gets a row a shard."""
-    folder = new_path(survey.sparkSession, "frequencies")
+    folder = new_path(docs.sparkSession, "frequencies")
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         k = int(frame["shard"].iloc[0])
@@ -160,13 +156,12 @@ def _frequencies(survey: DataFrame) -> Frequencies:
             save(folder, f"df-{k}", key=keys[often], count=counts[often])
         return pd.DataFrame({"shard": [k], "bits": [int(frame["bits"].iloc[0])], "n": [int(often.sum())]})
 
-    blocks = survey.where("shard is not null").select("shard", "bits", "first", "keys", "counts")
-    rows = blocks.groupBy("shard").applyInPandas(joined, "shard int, bits int, n long").collect()  # a row a shard
+    rows = materialise(_survey(docs).groupBy("shard").applyInPandas(joined, "shard int, bits int, n long"), "shards").collect()  # a row a shard
     bits = rows[0]["bits"] if rows else 3
     sizes = [0] * (1 << bits)
     for r in rows:
         sizes[r["shard"]] = r["n"]
-    return Frequencies(folder, bits, tuple(sizes), survey.where("shard is null").count())
+    return Frequencies(folder, bits, tuple(sizes), docs.count())
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -218,24 +213,27 @@ def samples(bounds: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int)
 
 
 def _signatures(docs: DataFrame, known: Broadcast) -> DataFrame:
-    """doc_id, k1, k2, bands array<long>; documents without words have none."""
-    names = ["doc_id", "k1", "k2", "bands"]
+    """doc_id, id, k1, k2 (the key of the word sequence), bands array<long>, which is empty for documents without words."""
+    names = ["doc_id", "id", "k1", "k2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = known.value
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 bounds, hashes, counts, keys = shingles(part.column("text"))
-                full = np.flatnonzero(np.diff(bounds))
+                some = np.diff(bounds) > 0
+                full = np.flatnonzero(some)
                 s = samples(np.append(bounds[:-1][full], bounds[-1]), hashes, idf.weights(hashes, counts), BANDS * ROWS).reshape(len(full), BANDS, ROWS)
                 mixed = np.zeros((len(full), BANDS), np.uint64)
                 for k in range(ROWS):
                     mixed = mix(mixed * np.uint64(0xE7037ED1A0B428DB) + s[:, :, k])
-                columns = [pa.array(np.ascontiguousarray(keys[full, k]).view(np.int64)) for k in (0, 1)]
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS), pa.array(mixed.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), *columns, bands], names)
+                columns = [pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in (0, 1)]
+                ends = np.append(0, np.cumsum(some * BANDS)).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(mixed.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), *columns, bands], names)
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, bands array<bigint>")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "id")]
+    return docs.select("doc_id", "id", "text").mapInArrow(run, f"{', '.join(kinds)}, k1 long, k2 long, bands array<bigint>")
 
 
 def similarity(left: pa.Array, right: pa.Array, idf: Frequencies) -> np.ndarray:
@@ -386,19 +384,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
     with the smallest id and number.
     """
     numbered = docs.select(F.col("row").alias("doc_id"), "text")  # all steps tell documents apart by their numbers
-    survey = materialise(_survey(numbered), "survey")
-    idf = docs.sparkSession.sparkContext.broadcast(_frequencies(survey))
-    rows = materialise(survey.where("shard is null").select(F.col("doc_id").alias("row"), "k1", "k2").join(docs.select("row", F.col("doc_id").alias("id")), "row"), "rows")
-    drop(survey)
+    idf = docs.sparkSession.sparkContext.broadcast(_frequencies(numbered))
+    named = docs.where("doc_id is not null").select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id"), "text")
+    signed = materialise(_signatures(named, idf), "signed")
+    rows = signed.select(F.col("doc_id").alias("row"), "id", "k1", "k2")
     first = F.min(F.struct("id", "row")).alias("least")
-    nodes = materialise(rows.where("id is not null").groupBy("k1", "k2").agg(F.min("row").alias("node"), first), "nodes")
-    signed = materialise(_signatures(docs.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text"), idf), "signed")
+    nodes = materialise(rows.groupBy("k1", "k2").agg(F.min("row").alias("node"), first), "nodes")
     members = signed.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     members = materialise(members, "members")
     leaders = materialise(members.groupBy("band", "bucket").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "leaders")
     shared = materialise(members.join(leaders, ["band", "bucket"]).select("band", "bucket", "doc_id", "leader"), "shared")
     drop(members, leaders)
-    texts = materialise(numbered.join(shared.select("doc_id").distinct(), "doc_id"), "texts", codec="zstd")
+    texts = materialise(chosen(numbered, "doc_id", shared), "texts", codec="zstd")
     pairs = shared.groupBy("doc_id").agg(F.min("leader").alias("a")).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
     links = materialise(_verified(pairs, texts, idf), "links")
     classes = _roots(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
@@ -407,7 +404,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     for turn in range(TURNS):
         open_ = _unsettled(shared, classes)
         if sizes is None:
-            sizes, rare = _sizes(texts.join(open_.select("doc_id").distinct(), "doc_id"), idf)
+            sizes, rare = _sizes(chosen(texts, "doc_id", open_), idf)
         open_ = materialise(open_.join(sizes.where(F.col("total") - F.col("own") >= SIMILAR * F.col("total") - 1e-3), "doc_id"), "bounded")
         side = lambda x: [F.col("doc_id").alias(x), F.col("root").alias(f"r{x}"), F.col("total").alias(f"t{x}"), F.col("own").alias(f"o{x}")]
         near = F.least(F.expr("tx - ox"), F.expr("ty - oy")) >= SIMILAR * F.greatest(F.expr("tx + oy"), F.expr("ty + ox")) - 1e-3
@@ -431,9 +428,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rooted = nodes.join(classes, "node", "left").select("k1", "k2", "least", F.coalesce("root", "node").alias("root"))
     stays = rooted.groupBy("root").agg(F.min("least").alias("stays"))
     top = rooted.join(stays, "root").select("k1", "k2", "stays")
-    found = rows.join(top, ["k1", "k2"], "left")
-    known = F.col("id").isNotNull()
-    return found.select("row", F.col("id").alias("doc_id"), F.when(known, F.col("stays.id")).alias("class_id"), F.coalesce(~known | (F.col("row") == F.col("stays.row")), F.lit(True)).alias("kept"))
+    found = rows.join(top, ["k1", "k2"]).select("row", F.col("id").alias("doc_id"), F.col("stays.id").alias("class_id"), (F.col("row") == F.col("stays.row")).alias("kept"))
+    return found.unionByName(docs.where("doc_id is null").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,4 +442,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box")
     stored = materialise(docs.select(whole, F.monotonically_increasing_id().alias("row")), "documents", codec="zstd")
     known = stored.select("row", F.col("box.doc_id").alias("doc_id"), F.coalesce("box.text", F.lit("")).alias("text"))
-    return stored.join(near_classes(known).where("kept").select("row"), "row").select("box.*")
+    return chosen(stored, "row", near_classes(known).where("kept")).select("box.*")

@@ -1,15 +1,23 @@
-"""Sorted counts gathered by tasks and merged by shard, and arrays in files of the shared folder."""
+"""Sorted counts gathered by tasks and merged by shard, arrays in files of the shared folder, and choices by row number."""
 
 from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandline.scratch import materialise, new_path
 
 HELD = 2_500_000
+RANGE_BITS = 20
 _CACHE_BYTES, _CACHE_FILES = 200_000_000, 20_000
 
 
@@ -114,3 +122,38 @@ def squeeze(x: np.ndarray) -> bytes:
 
 def unsqueeze(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def chosen(stored: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of a stored table whose number ``key`` (a long, no null) is in ``wanted``, which has no other numbers.
+
+    Only numbers are shuffled: those wanted go to one sorted file for each range of
+    2^20 numbers, and the task that reads a row looks its number up there.  A task
+    that writes a file holds one range at most.
+    """
+    folder = new_path(stored.sparkSession, "wanted")
+
+    def listed(frame: pd.DataFrame) -> pd.DataFrame:
+        k = int(frame["range"].iloc[0])
+        save(folder, f"range-{k}", wanted=np.sort(frame["number"][frame["yes"]].to_numpy(np.int64)))
+        return pd.DataFrame({"range": [k]})
+
+    yes = wanted.select(F.col(key).alias("number")).distinct().withColumn("yes", F.lit(True))
+    numbers = stored.select(F.col(key).alias("number")).join(yes, "number", "left")
+    ranged = numbers.select(F.shiftright("number", RANGE_BITS).alias("range"), "number", F.coalesce("yes", F.lit(False)).alias("yes"))
+    materialise(ranged.groupBy("range").applyInPandas(listed, "range long"), "ranges")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column(key).to_numpy()
+            keep = np.zeros(len(number), bool)
+            for k in np.unique(number >> RANGE_BITS):
+                here = np.flatnonzero(number >> RANGE_BITS == k)
+                listing = load(folder, f"range-{k}", "wanted")
+                at = np.searchsorted(listing, number[here])
+                found = at < len(listing)
+                found[found] = listing[at[found]] == number[here][found]
+                keep[here] = found
+            yield batch.filter(pa.array(keep))
+
+    return stored.mapInArrow(run, stored.schema)

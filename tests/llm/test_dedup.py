@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandline.llm import exact_dedup, near_dedup, substring_dedup
+from strandline.llm import exact_dedup, near_dedup, shards, substring_dedup
 
 
 def squeezed(text):
@@ -209,7 +209,7 @@ def test_document_frequencies_are_exact_at_any_load(make_docs, hard_pairs, monke
     want = Counter()
     for _, t in pairs:
         want.update(set(near_dedup.shingles(pa.array([t or ""]))[1].tolist()))
-    idf = near_dedup._frequencies(near_dedup._survey(near_dedup.id_text(make_docs(pairs))))
+    idf = near_dedup._frequencies(near_dedup.id_text(make_docs(pairs)))
     hashes = np.array(list(want), np.uint64)
     df = np.array(list(want.values()))
     assert len(want) > 1 << 20 and idf.documents == len(pairs)
@@ -260,7 +260,7 @@ def test_rarest_shingles_meet_for_all_similar_texts(make_docs):
             text[rng.randrange(60)] = rng.choice(base[:9] + [f"n{rng.randrange(6)}"])
         pairs.append((k, " ".join(text)))
     docs = near_dedup.id_text(make_docs(pairs))
-    idf = docs.sparkSession.sparkContext.broadcast(near_dedup._frequencies(near_dedup._survey(docs)))
+    idf = docs.sparkSession.sparkContext.broadcast(near_dedup._frequencies(docs))
     rare = defaultdict(set)
     for r in near_dedup._sizes(docs, idf)[1].collect():
         rare[r.doc_id].add(r.hash)
@@ -322,3 +322,14 @@ def test_components_of_random_graph(spark):
         for a, b in edges:
             parent[a] = parent[b] = min(parent[a], parent[b])
     assert found == {i: p for i, p in enumerate(parent) if p != i}
+
+
+def test_rows_are_chosen_by_number_without_moving_them(spark, monkeypatch):
+    """Numbers far apart, a range without any that is wanted, numbers named twice, and no number at all."""
+    monkeypatch.setattr(shards, "RANGE_BITS", 3)
+    numbers = [0, 5, 7, 8, 9, 64, 70, 1 << 33, (1 << 33) + 1]
+    rows = shards.materialise(spark.createDataFrame([(n, f"text {n}", {"x": n}) for n in numbers], "row long, text string, box struct<x:long>"), "rows")
+    for wanted in ([5, 8, 8, 9, 1 << 33], numbers, []):
+        out = shards.chosen(rows, "row", spark.createDataFrame([(n,) for n in wanted], "row long"))
+        assert out.schema.simpleString() == rows.schema.simpleString()
+        assert sorted((r.row, r.text, r.box.x) for r in out.collect()) == [(n, f"text {n}", n) for n in sorted(set(wanted))]
