@@ -124,8 +124,8 @@ def unsqueeze(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
 
 
-def chosen(stored: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows of a stored table whose number ``key`` (a long, no null) is in ``wanted``, which has no other numbers.
+def chosen(stored: DataFrame, key: str, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """The rows of a stored table whose number ``key`` (a long, no null) is in ``wanted``, which has no other numbers; with ``others`` those whose number isn't.
 
     Only numbers are shuffled: those wanted go to one sorted file for each range of
     2^20 numbers, and the task that reads a row looks its number up there.  A task
@@ -153,7 +153,7 @@ def chosen(stored: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
                 at = np.searchsorted(listing, number[here])
                 found = at < len(listing)
                 found[found] = listing[at[found]] == number[here][found]
-                keep[here] = found
+                keep[here] = found != others
             yield batch.filter(pa.array(keep))
 
     return stored.mapInArrow(run, stored.schema)

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import coded_words, hot_values, id_text, salted_join, slices
 from strandline.llm.hashing import Rolling, word_hashes
+from strandline.llm.shards import chosen
 from strandline.scratch import drop, materialise
 
 WIDTH, KMER = 50, 16
@@ -134,7 +135,7 @@ def opened(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 own = [part.column(c).take(pa.array(at_row)) for c in ("row", "doc_id")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), _signed(one.of(place, place + width)), _signed(two.of(place, place + width))], names)
 
-    both = rows.join(wanted, "row").select("row", "doc_id", "text", "spans")
+    both = chosen(rows, "row", wanted).join(wanted, "row").select("row", "doc_id", "text", "spans")
     return both.mapInArrow(run, f"row long, doc_id {_kind(rows)}, start int, h1 long, h2 long")
 
 
@@ -231,7 +232,8 @@ def verify(rows: DataFrame, runs: DataFrame, width: int) -> None:
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
 
-    both = rows.join(copies.unionByName(read.select("row", "spans")), "row").select("text", "spans")
+    spans = materialise(copies.unionByName(read.select("row", "spans")), "spans")
+    both = chosen(rows, "row", spans).join(spans, "row").select("text", "spans")
     digests = both.mapInArrow(run, "source long, source_start int, n int, digest binary")
     told = digests.groupBy("source", "source_start", "n").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.count(F.lit(1)).alias("c"))
     bad = materialise(told.where("a <> b or c < 2").limit(1), "differences")
@@ -285,7 +287,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER) -> Dat
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box")
     stored = materialise(docs.select(whole, F.monotonically_increasing_id().alias("row")), "rows", codec="zstd")
     rows = stored.select("row", F.col("box.doc_id").alias("doc_id"), F.coalesce("box.text", F.lit("")).alias("text"))
-    marked = stored.join(removed_spans(rows, width, kmer), "row", "left")
+    spans = materialise(removed_spans(rows, width, kmer), "removed")
+    whole_rows = chosen(stored, "row", spans, others=True)
+
     @F.pandas_udf("string")
     def cut(text, spans):
         import re
@@ -309,5 +313,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, kmer: int = KMER) -> Dat
 
         return pd.Series(out, dtype=object)
 
-    box = F.when(F.col("spans").isNull(), F.col("box")).otherwise(F.col("box").withField("text", cut(F.col("box.text"), F.col("spans"))))
-    return marked.select(box.alias("box")).select("box.*")
+    marked = chosen(stored, "row", spans).join(spans, "row")
+    box = F.col("box").withField("text", cut(F.col("box.text"), F.col("spans")))
+    return whole_rows.select("box").unionByName(marked.select(box.alias("box"))).select("box.*")

@@ -333,3 +333,5 @@ def test_rows_are_chosen_by_number_without_moving_them(spark, monkeypatch):
         out = shards.chosen(rows, "row", spark.createDataFrame([(n,) for n in wanted], "row long"))
         assert out.schema.simpleString() == rows.schema.simpleString()
         assert sorted((r.row, r.text, r.box.x) for r in out.collect()) == [(n, f"text {n}", n) for n in sorted(set(wanted))]
+        rest = shards.chosen(rows, "row", spark.createDataFrame([(n,) for n in wanted], "row long"), others=True)
+        assert sorted(r.row for r in rest.collect()) == sorted(set(numbers) - set(wanted))
