@@ -190,7 +190,7 @@ def repeated_runs(rows: DataFrame, width: int = WIDTH, kmer: int = KMER) -> Data
     compact = compact.where("windows is null or windows > 0").withColumn("n", F.coalesce("windows", "n").cast("int"))
 
     spans = F.collect_set(F.struct("start", "n")).alias("spans")  # no more than a document has words
-    sources = told.where("branching and not s_doc < doc_id").groupBy("row").agg(spans)
+    sources = materialise(told.where("branching and not s_doc < doc_id").groupBy("row").agg(spans), "sources")
     windows = materialise(opened(known, sources, width), "windows")
     least = windows.groupBy("h1", "h2").agg(first, F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("s.doc_id < b")
     least = materialise(least.select("h1", "h2", "c", F.col("s.doc_id").alias("s_doc"), F.col("s.row").alias("source"), F.col("s.start").alias("source_start")), "least")
