@@ -15,11 +15,12 @@ shared folder that executors memory-map; all others are in one.
 4. A bucket whose members are still in several classes compares the members
    outside its largest class with a few of that class, other ones each turn.
 5. What is unsettled even then is worked out in full: a member outside its
-   bucket's largest class meets every member of another class, in a bucket with
-   many such members only those that share one of its rarest shingles, without
-   which the rest weighs too little for similar texts.  Documents that share common
-   passages alone are thus not paired over and over.  No other candidate pair is skipped unless it is within one class
-   already, so classes are those of all candidate pairs.
+   bucket's largest class meets every member of another class of any such bucket
+   with which it shares one of the rarest shingles of both, without which the rest
+   weighs too little for similar texts.  Documents that share common passages, or
+   are loose copies of one text, are thus not all paired.  No other candidate pair
+   is skipped unless it is within one class already, so classes are those of all
+   candidate pairs.
 
 Pairs are verified by exact weighted Jaccard similarity over the whole texts.
 
@@ -254,14 +255,15 @@ def similarity(left: pa.Array, right: pa.Array, idf: Frequencies) -> np.ndarray:
 
 
 def _sizes(texts: DataFrame, known: Broadcast) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, total, own): a document's weight, and the weight of shingles that no other of ``texts`` has; (doc_id, hash) of its rarest shingles.
+    """(doc_id, total, own): a document's weight, and the weight of shingles that no other of ``texts`` has; (doc_id, hash, before) of its rarest shingles.
 
     Two of these documents share at most ``total - own`` of either, and their
     union holds the total of the one and what is the other's own: an exact upper
     bound of their similarity.  The rarest shingles are those, by frequency and
     hash, after which less than ``SIMILAR`` of the weight is left: of two similar
     documents the one whose rarest shingles end first has one in common with the
-    rarest of the other, or else they share too little.
+    rarest of the other, or else they share too little.  ``before`` is the weight
+    of the document's shingles rarer than this one, for a closer bound on a pair.
     """
     kind = texts.schema["doc_id"].dataType.simpleString()
 
@@ -275,16 +277,17 @@ def _sizes(texts: DataFrame, known: Broadcast) -> tuple[DataFrame, DataFrame]:
                 order = np.lexsort((hashes, known.value.df(hashes), row))
                 sums = np.concatenate([[0.0], np.cumsum(weight[order])])
                 begin, total = sums[bounds[:-1]], sums[bounds[1:]] - sums[bounds[:-1]]
-                rare = np.zeros(len(order), bool)
-                rare[order] = sums[:-1] - begin[row] <= (1 - SIMILAR) * total[row] + 1e-3
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), pa.array(hashes.view(np.int64)), pa.array(weight), pa.array(rare)], ["doc_id", "hash", "w", "rare"])
+                ahead = sums[:-1] - begin[row]
+                before = np.empty(len(order))
+                before[order] = np.where(ahead <= (1 - SIMILAR) * total[row] + 1e-3, ahead, np.nan)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), pa.array(hashes.view(np.int64)), pa.array(weight), pa.array(before, from_pandas=True)], ["doc_id", "hash", "w", "before"])
 
-    each = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hash long, w double, rare boolean"), "shingles")
+    each = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hash long, w double, before double"), "shingles")
     single = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("w").alias("w")).where("n = 1")
     total = each.groupBy("doc_id").agg(F.sum("w").alias("total"))
     own = single.groupBy("doc_id").agg(F.sum("w").alias("own"))
     sizes = materialise(total.join(own, "doc_id", "left").na.fill(0.0, ["own"]), "sizes")
-    rare = materialise(each.where("rare").select("doc_id", "hash"), "rare")
+    rare = materialise(each.where("before is not null").select("doc_id", "hash", "before"), "rare")
     drop(each)
     return sizes, rare
 
@@ -353,28 +356,26 @@ def _renamed(edges: DataFrame, step: DataFrame) -> DataFrame:
     return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _meetings(open_: DataFrame, rare: DataFrame, keys: DataFrame, side) -> DataFrame:
+def _meetings(open_: DataFrame, rare: DataFrame, side) -> DataFrame:
     """Members outside their bucket's largest class with the members they may be similar to.
 
-    In a bucket with at most ``PLAIN`` members outside, each meets all others there,
-    a pair once, in the first band its documents share: the pairs grow with the
-    bucket, not with its square.  In any other bucket they must share one of their
-    rarest shingles.  Both ways find every similar pair.  A member brings tens of
-    rare shingles into a join that moves each of them, so this pays only where it
-    would otherwise meet many times as many members.
+    Similar documents share ``SIMILAR / (1 + SIMILAR)`` of their summed totals.  The
+    first shingle that both have, by frequency and hash, must thus leave either as
+    much from there on.  Members meet by such shingles alone, whatever their buckets,
+    so what a bucket's members all have makes no pairs; pairs that share no band are
+    candidates the bands have missed.  Each document brings its rarest shingles once.
+    A shingle of more than ``PLAIN`` members is dealt over several keys: a member
+    outside goes to each of them, and meets any other at one.
     """
-    key = ["band", "bucket"]
-    outside = open_.where("root <> main").groupBy(*key).agg(F.count(F.lit(1)).alias("outside"))
-    sized = materialise(open_.join(outside, key), "sized")
-    plain, crowded = sized.where(F.col("outside") <= PLAIN), sized.where(F.col("outside") > PLAIN).join(rare, "doc_id")
-    names = [c for x in "xy" for c in (x, f"r{x}", f"t{x}", f"o{x}")]
-    bands = lambda x: keys.select(F.col("doc_id").alias(x), F.col("bands").alias(f"b{x}"))
-    x = plain.where("root <> main").select(*key, *side("x")).join(bands("x"), "x")
-    y = plain.select(*key, *side("y"), (F.col("root") == F.col("main")).alias("inner")).join(bands("y"), "y")
-    once = (F.expr("array_position(zip_with(bx, by, (p, q) -> p = q), true)") == F.col("band") + 1) & (F.col("inner") | (F.col("x") < F.col("y")))
-    on = [*key, "hash"]
-    rest = crowded.where("root <> main").select(*on, *side("x")).join(crowded.select(*on, *side("y")), on)
-    return x.join(y, key).where(once).select(*names).unionByName(rest.select(*names))
+    docs = open_.groupBy("doc_id", "root", "total", "own").agg(F.max(F.expr("root <> main")).alias("outside"))
+    members = materialise(rare.join(docs, "doc_id"), "rarest")
+    hashes = members.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("outside").alias("some"), F.min("root").alias("least"), F.max("root").alias("most"))
+    members = members.join(hashes.where("some and least < most").select("hash", F.ceil(F.col("n") / PLAIN).alias("parts")), "hash")
+    x = members.where("outside").select("hash", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), *side("x"), F.col("before").alias("bx"))
+    y = members.select("hash", F.expr("pmod(xxhash64(doc_id), parts)").alias("part"), *side("y"), F.col("before").alias("by"), (~F.col("outside")).alias("inner"))
+    shared = SIMILAR / (1 + SIMILAR) * (F.col("tx") + F.col("ty")) - 1e-3
+    first = (F.col("tx") - F.col("bx") >= shared) & (F.col("ty") - F.col("by") >= shared)
+    return x.join(y, ["hash", "part"]).where((F.col("rx") != F.col("ry")) & first & (F.col("inner") | (F.col("x") < F.col("y"))))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -400,7 +401,6 @@ def near_classes(docs: DataFrame) -> DataFrame:
     links = materialise(_verified(pairs, texts, idf), "links")
     classes = _roots(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
     tried, sizes, rare = pairs, None, None
-    keys = signed.select("doc_id", "bands")
     for turn in range(TURNS):
         open_ = _unsettled(shared, classes)
         if sizes is None:
@@ -414,7 +414,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
             few = few.agg(F.min(F.struct(draw.alias("m"), "doc_id", "root", "total", "own")).alias("y"))
             met = open_.where("root <> main").select("band", "bucket", *side("x")).join(few.select("band", "bucket", "y.*").select("band", "bucket", *side("y")), ["band", "bucket"])
         else:
-            met = _meetings(open_, rare, keys, side)
+            met = _meetings(open_, rare, side)
         left = met.where((F.col("rx") != F.col("ry")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         left = materialise(left.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         drop(open_)

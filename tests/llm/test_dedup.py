@@ -251,6 +251,31 @@ def test_near_hot_bucket_of_many_classes(make_docs, monkeypatch, plain):
     assert sizes[-1] < 30 * 12 or plain == 1000  # the last turn pairs no two documents that share the common half alone
 
 
+def test_near_loose_copies_of_one_text_are_not_all_paired(make_docs, monkeypatch):
+    """120 copies of one text in one bucket, each with five of 300 changes that two of them have: pairs grow with the copies, not with their square."""
+    signatures, sizes = near_dedup._signatures, []
+    monkeypatch.setattr(near_dedup, "_signatures", lambda docs, known: signatures(docs, known).withColumn("bands", near_dedup.F.expr("transform(bands, (x, i) -> if(i = 0, 7L, hash(doc_id, i)))")))
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *more: sizes.append(pairs.count()) or verified(pairs, *more))
+    rng = random.Random(24)
+    base, texts = [f"b{rng.randrange(5000)}" for _ in range(150)], []
+    partner = [rng.sample(range(120), 120) for _ in range(5)]
+    for k in range(120):
+        text = list(base)
+        for j in range(5):
+            change = partner[j][k] // 2 + 60 * j
+            text[5 + 30 * j + 5 * (change % 5)] = f"c{change}"
+        texts.append(text)
+    for k in range(0, 120, 10):  # links that only the last turn may find
+        texts.append([*texts[k][:-1], f"last{k}"])
+    pairs = [((7 * k) % 132, " ".join(t)) for k, t in enumerate(texts)]
+    rows = near_dedup.near_duplicates(make_docs(pairs)).collect()
+    want = plain_classes(pairs)
+    assert 100 < len(set(want)) <= 120
+    assert sorted((r.doc_id, r.class_id) for r in rows) == sorted(zip((i for i, _ in pairs), want, strict=True))
+    assert sum(sizes) < 10 * len(pairs)
+
+
 def test_rarest_shingles_meet_for_all_similar_texts(make_docs):
     rng = random.Random(23)
     base, pairs = words(rng, 60), []
