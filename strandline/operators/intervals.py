@@ -36,11 +36,17 @@ def clip_labels(videos: DataFrame, intervals: DataFrame, clip: int, n_clips: int
     """video_id, clip_idx, label of every clip: the covering interval that starts last, -1 if none.
 
     Equal starts are settled by stop, then id.  Intervals without a verb give no label.
+    The join is on videos; clips are laid out after it.  A joined grid of clips would
+    be broadcast by the size of the videos it comes from, as soon as a filter on
+    labels made that join an inner one.
     """
     cover = covered_clips(intervals.where("verb is not null"), clip, n_clips)
     best = cover.groupBy("video_id", "clip_idx").agg(F.max_by("verb", F.struct("start", "stop", "id")).alias("label"))
-    grid = videos.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(n_clips - 1))).alias("clip_idx"))
-    return grid.join(best, ["video_id", "clip_idx"], "left").select("video_id", "clip_idx", F.coalesce("label", F.lit(-1)).alias("label"))
+    hits = best.groupBy("video_id").agg(F.collect_list(F.struct("clip_idx", "label")).alias("hits"))  # n_clips at most
+    clips = F.sequence(F.lit(0), F.lit(n_clips - 1))
+    rest = lambda taken: F.transform(F.array_except(clips, taken), lambda c: F.struct(c.alias("clip_idx"), F.lit(-1).cast(best.schema["label"].dataType).alias("label")))
+    every = F.when(F.col("hits").isNull(), rest(F.array().cast("array<int>"))).otherwise(F.concat("hits", rest(F.transform("hits", lambda h: h["clip_idx"]))))
+    return videos.join(hits, "video_id", "left").select("video_id", F.explode(every).alias("c")).select("video_id", "c.clip_idx", "c.label")
 
 
 def background_fraction(labels: DataFrame) -> DataFrame:

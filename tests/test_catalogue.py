@@ -31,3 +31,15 @@ def test_best_level_averages_the_random_baseline(spark, tmp_path, monkeypatch):
         tp += any(abs(t - 6) <= 1 for t in list(drawn)[:2])
     assert (got.merges, got.model_f1) == (0, pytest.approx(2 / 3, abs=1e-6))
     assert got.random_f1 == pytest.approx(2 * tp / 20 / 3, abs=1e-6) and 0 < tp < 20
+
+
+@pytest.mark.parametrize("name", ["token_clip_purity"])
+def test_labelled_clips_join_no_grid(spark, tmp_path, name):
+    """A filter on labels must not turn the join into an inner one with a grid of clips, which is broadcast by the size of its videos."""
+    rows = [(k, k % 3, datetime(2024, 1, 1) + timedelta(hours=k % 50), "view", 60.0) for k in range(90)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    vectors = [(k, 0, [float(k)]) for k in range(150)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert found.count() > 0 and not any("Join Inner" in a and "Generate" in b for a, b in zip(plan, plan[1:], strict=False))
