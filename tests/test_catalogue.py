@@ -33,7 +33,7 @@ def test_best_level_averages_the_random_baseline(spark, tmp_path, monkeypatch):
     assert got.random_f1 == pytest.approx(2 * tp / 20 / 3, abs=1e-6) and 0 < tp < 20
 
 
-@pytest.mark.parametrize("name", ["token_clip_purity", "top_labels", "labelled_features"])
+@pytest.mark.parametrize("name", ["token_clip_purity", "top_labels", "labelled_features", "clip_labels_unlabelled_signups"])
 def test_labelled_clips_join_no_grid(spark, tmp_path, name):
     """A filter on labels must not turn the join into an inner one with a grid of clips, which is broadcast by the size of its videos."""
     rows = [(k, k % 3, datetime(2024, 1, 1) + timedelta(hours=k % 50), "view", 60.0) for k in range(90)]
