@@ -39,6 +39,36 @@ def test_greedy_match_against_brute_force(spark):
         assert match(spark, pred, true, 5.0).tp == found
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 64])
+def test_list_hits_against_brute_force(rounds):
+    """Many rows at once, short of rounds or not: the same hits as pair by pair, with chains of equal distances and empty rows."""
+    rng = random.Random(3)
+    rows = [(sorted({rng.randrange(40) / 2 for _ in range(rng.randrange(12))}), sorted({rng.randrange(40) / 2 for _ in range(rng.randrange(12))})) for _ in range(60)]
+    rows.append(([0.0, 2.0, 4.0, 6.0, 8.0], [1.0, 3.0, 5.0, 7.0]))
+    want = []
+    for pred, true in rows:
+        p, g = set(), set()
+        for _, i, j in sorted((abs(a - b), i, j) for i, a in enumerate(pred) for j, b in enumerate(true) if abs(a - b) <= 1):
+            if i not in p and j not in g:
+                p, g = p | {i}, g | {j}
+        want.append(len(p))
+    flat = lambda side: (np.repeat(np.arange(len(rows)), [len(r[side]) for r in rows]), np.array([t for r in rows for t in r[side]]))
+    assert matching.list_hits(*flat(0), *flat(1), len(rows), 1.0, rounds).tolist() == want
+
+
+def test_random_draws_are_matched_within_rows(spark):
+    """No window, and no trial or draw as a key of a shuffle: the lists of a row meet in place."""
+    counts = spark.createDataFrame([(1, 5, 30, 1.0, [2.0, 9.0]), (2, 25, 30, 2.0, [4.0])], "video_id long, n_pred long, n_pos long, cps double, true array<double>")
+    hits = matching.drawn_hits(splits.drawn_lists(counts, ["video_id"], 8, 5, "cps", "true"), ["video_id"], 1.0)
+    plain = splits.drawn_positions(counts, ["video_id"], 8, 5).join(counts.select("video_id", "cps"), "video_id").select("video_id", "trial", (F.col("t") / F.col("cps")).alias("t"), F.lit(1.0).alias("tol"))
+    true = counts.select("video_id", F.explode("true").alias("t"), F.lit(1.0).alias("tol"))
+    each = true.crossJoin(spark.range(8).select(F.col("id").cast("int").alias("trial")))
+    keys = ["video_id", "trial"]
+    want = matching.greedy_matches(matching.candidates(plain, each, keys), keys).groupBy("video_id").agg(F.sum("tp"))
+    assert sorted(map(tuple, hits.groupBy("video_id").agg(F.sum("tp")).collect())) == sorted(map(tuple, want.collect()))
+    assert "Window" not in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_runs_and_stats(spark):
     t = tokens(spark, [5, 5, 7, 5])
     runs = sequences.run_length_encode(t).orderBy("start").collect()
