@@ -267,6 +267,22 @@ def test_quantiser_beats_copying():
     assert q.fit(now, later, epochs=40, batch=64)[-1] < 0.5 * ((later - now) ** 2).mean()
 
 
+def test_samples_send_no_more_than_they_hold(spark):
+    """The smallest keys, without an ordered limit, which sends the driver as many rows of every task."""
+    rows = spark.range(3000).select("id", (F.col("id") * 2).alias("y"))
+    order = [r.y for r in rows.orderBy(learning.md5_key(F.lit("fit"), F.col("id"))).collect()]
+    ran = []
+    collect = type(rows).toPandas
+    type(rows).toPandas = lambda self: ran.append((collect(self), self._jdf.queryExecution().optimizedPlan().toString())) or ran[-1][0]
+    try:
+        for most in (0, 1, 100, 2999, 3000, 5000):
+            assert learning.sampled(rows, ["id"], ["y"], most)["y"].tolist() == order[:most]
+            got, plan = ran.pop()
+            assert "Limit" not in plan and len(got) <= most + 10
+    finally:
+        type(rows).toPandas = collect
+
+
 def test_probe_report_against_numpy(spark):
     """Every metric of a fit from the model's own scores, computed by hand; an empty test split is skipped."""
     rng = np.random.default_rng(2)
